@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.llm.html_text import op9_html_text
 from tidemark.llm.packing import op2_best_fit_packing
+from tidemark.llm.simhash import op4_simhash
+from tidemark.llm.suffix_dedup import op10_suffix_dedup
 from tidemark.llm.token_codec import op8_bpe_codec
 from tidemark.llm.token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op7_token_counts, op8_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_simhash, op7_token_counts, op8_bpe_codec, op9_html_text, op10_suffix_dedup)}
 
 #: Where SQL can express an operator.
 SQL: dict[str, str] = {}
