@@ -143,16 +143,36 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 16_384) -> DataFrame
     return both.select("a", "b", "fa", "fb").repartition("a", "b").mapInArrow(compare, "u long, v long")
 
 
+def _classes(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, root, first: each distinct fingerprint with its component's smallest fingerprint and its own smallest id."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(nodes.select("fp"), radius))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     fps = written(fingerprints(docs, text, ("doc_id",), words, seed), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), radius))
-    classes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = _classes(fps, radius)
     firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = classes.join(firsts, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def kept(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """The rows of docs, one of each group: that with the smallest id (null ids come last; among rows of equal id and fingerprint, any
+    one)."""
+    whole = docs.select("doc_id", F.struct("*").alias("row"), text)
+    hashed = written(fingerprints(whole, text, ("doc_id", "row"), words, seed), "hashed")
+    fps = hashed.select("doc_id", "fp")
+    least = _classes(fps, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("m")).select(F.col("m.first").alias("id"), F.col("m.fp").alias("own"))
+    copies = fps.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    stay = least.join(copies, least["id"].eqNullSafe(copies["doc_id"]) & (least["own"] == copies["fp"])).select("id", "own", "n")
+    found = hashed.join(stay, (hashed["fp"] == stay["own"]) & hashed["doc_id"].eqNullSafe(stay["id"]))
+    single = found.filter("n = 1").select("row.*")
+    repeated = found.filter("n > 1").groupBy("fp").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(repeated)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -39,8 +39,9 @@ _SEGMENT = np.dtype([("doc", "<i8"), ("uid", "<i8"), ("start", "<i8"), ("size",
 _SPAN = np.dtype([("place", "<i4"), ("low", "<i8"), ("high", "<i8")])
 
 
-def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The corpus as blocks of about CHUNK bytes (a longer text is a block of its own), compressed."""
+def blocks(docs: DataFrame, text: str = "text", carry: str | None = None) -> DataFrame:
+    """The corpus as blocks of about CHUNK bytes (a longer text is a block of its own), compressed. carry: a struct column that goes
+    along with each text."""
 
     def cut(batches):
         import zstandard
@@ -49,28 +50,33 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
         base, n = TaskContext.get().partitionId() << 24, 0
         pack = zstandard.ZstdCompressor(level=3)
         ids: list = []
+        more: list = []
         held: list[bytes] = []
         size = 0
 
         def row():
-            nonlocal n, ids, held, size
-            out = pa.RecordBatch.from_arrays([pa.array([base | n], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, held))], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(held))], pa.binary())], names)
-            n, ids, held, size = n + 1, [], [], 0
+            nonlocal n, ids, more, held, size
+            out = pa.RecordBatch.from_arrays([pa.array([base | n], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, held))], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(held))], pa.binary()), *([pa.array([more], pa.list_(kind))] if carry else [])], names)
+            n, ids, more, held, size = n + 1, [], [], [], 0
             return out
 
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            kind = batch.column(2).type if carry else None
+            along = batch.column(2).to_pylist() if carry else [None] * batch.num_rows
+            for doc, t, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), along, strict=True):
                 t = t or b""
                 if held and (size + len(t) > CHUNK or len(held) == TEXTS):
                     yield row()
                 ids.append(doc)
+                more.append(x)
                 held.append(t)
                 size += len(t)
         if held:
             yield row()
 
-    names = ["block", "n_bytes", "doc_ids", "sizes", "data"]
-    return written(docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(cut, _BLOCKS), "blocks")
+    names = ["block", "n_bytes", "doc_ids", "sizes", "data", *(["carry"] if carry else [])]
+    schema = _BLOCKS + (f", carry array<{docs.schema[carry].dataType.simpleString()}>" if carry else "")
+    return written(docs.select(F.col("doc_id").cast("long"), F.col(text), *([carry] if carry else [])).mapInArrow(cut, schema), "blocks")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -239,10 +245,10 @@ def spans_of(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low[new], top[np.r_[new[1:], len(low)] - 1]
 
 
-def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_task: int = 16 << 20, hot: int = 30_000, outputs: str = "digest") -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_task: int = 16 << 20, hot: int = 30_000, outputs: str = "digest", carry: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with outputs="text", kept (string; bytes of a character that
-    was cut apart are left out) and spans (array of low, high) in place of the digest."""
-    held = blocks(docs, text)
+    was cut apart are left out) and spans (array of low, high) in place of the digest; and the struct column `carry`, if named."""
+    held = blocks(docs, text, carry)
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
     found = _recurring(held, length, max(1, -(-total // bytes_per_task)), hot)
     rows = written(_segments(held.join(found, "block", "left"), length, max(1, -(-total // (bytes_per_task // 8)))), "segments")
@@ -251,7 +257,7 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_ta
 
     def cut(batches):
         for batch in batches:
-            for ids, sizes, data, records in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "data", "records")), strict=True):
+            for row_at, (ids, sizes, data, records) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "data", "records")), strict=True)):
                 raw = _unpacked(data).tobytes()
                 spans = np.concatenate([np.frombuffer(x, _SPAN) for x in records]) if records else np.zeros(0, _SPAN)
                 spans = spans[np.argsort(spans["place"], kind="stable")]
@@ -268,7 +274,8 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_ta
                     kept = b"".join(parts)
                     row = (ids[i], n, n - len(kept), len(low))
                     out.append((*row, hashlib.sha256(kept).hexdigest()) if outputs == "digest" else (*row, kept.decode("utf-8", "ignore"), [{"low": a, "high": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *([batch.column("carry").slice(row_at, 1).flatten()] if carry else [])], names)
 
     names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans"], [pa.int64()] * 4
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, "
@@ -276,7 +283,9 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_ta
         names, kinds, schema = [*names, "kept_sha256"], [*kinds, pa.string()], schema + "kept_sha256 string"
     else:
         names, kinds, schema = [*names, "kept", "spans"], [*kinds, pa.string(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))], schema + "kept string, spans array<struct<low:long,high:long>>"
-    return held.join(repeats, "block", "left").select("doc_ids", "sizes", "data", "records").mapInArrow(cut, schema)
+    if carry:
+        names, schema = [*names, carry], f"{schema}, `{carry}` {docs.schema[carry].dataType.simpleString()}"
+    return held.join(repeats, "block", "left").select("doc_ids", "sizes", "data", "records", *(["carry"] if carry else [])).mapInArrow(cut, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
