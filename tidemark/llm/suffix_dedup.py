@@ -208,28 +208,39 @@ def _met(length: int):
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         rec = np.concatenate([np.frombuffer(x, _SEGMENT) for x in f["records"]])
-        data = np.frombuffer(b"".join(f["data"]), np.uint8)
+        raw = b"".join(f["data"])
+        ends = np.cumsum(rec["size"]).tolist()
+        keys = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        # equal segments of several tasks: the earliest stays, the others are repeats as a whole
+        order = np.lexsort((rec["start"], rec["uid"], rec["doc"]))
+        first: dict[bytes, int] = {}
+        own = [i for i in order.tolist() if first.setdefault(keys[i], i) == i]
+        whole = np.ones(len(rec), bool)
+        whole[own] = False
+        again, rec = rec[whole], rec[own]
+        data = np.frombuffer(b"".join([keys[i] for i in own]), np.uint8)
         size = rec["size"]
         ends = np.cumsum(size)
         ended = np.full(len(data) + len(rec), END, np.uint8)
         seg = np.repeat(np.arange(len(rec)), size)
         ended[np.arange(len(data)) + seg] = data
         begins = ends - size + np.arange(len(rec))
-        rank = np.empty(len(rec), np.int64)
-        rank[np.lexsort((rec["start"], rec["uid"], rec["doc"]))] = np.arange(len(rec))
         runs = size - length + 1
         of = np.repeat(np.arange(len(rec)), runs)
         owned = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs) + begins[of]
-        later = later_copies(ended, owned, rank[of], length)
+        later = later_copies(ended, owned, of, length)
         of = np.searchsorted(begins, later, "right") - 1
         at = np.flatnonzero(np.r_[True, (later[1:] != later[:-1] + 1) | (of[1:] != of[:-1])]) if len(later) else np.zeros(0, np.int64)
-        last = np.r_[at[1:], len(later)] - 1
-        span = np.empty(len(at), _SPAN)
+        last = np.r_[at[1:], len(later)] - 1 if len(later) else at
+        span = np.empty(len(at) + len(again), _SPAN)
+        span["place"][len(at) :] = again["uid"] & 0xFFFF
+        span["low"][len(at) :] = again["start"]
+        span["high"][len(at) :] = again["start"] + again["size"]
         seg = of[at]
-        span["place"] = rec["uid"][seg] & 0xFFFF
-        span["low"] = rec["start"][seg] + later[at] - begins[seg]
-        span["high"] = rec["start"][seg] + later[last] - begins[seg] + length
-        block = rec["uid"][seg] >> 16
+        span["place"][: len(at)] = rec["uid"][seg] & 0xFFFF
+        span["low"][: len(at)] = rec["start"][seg] + later[at] - begins[seg]
+        span["high"][: len(at)] = rec["start"][seg] + later[last] - begins[seg] + length
+        block = np.r_[rec["uid"][seg], again["uid"]] >> 16
         by = np.argsort(block, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(block[by]) != 0]) if len(by) else by
         return pd.DataFrame({"block": block[by][cut], "records": [p.tobytes() for p in np.split(span[by], cut[1:])] if len(cut) else []})
