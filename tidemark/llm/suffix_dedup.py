@@ -99,49 +99,59 @@ def block_anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """An order of distinct hashes by bucket, the buckets that have any, and where each one's begin in that order (with the end)."""
+    of = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(of, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(of[by]) != 0]) if len(by) else by
+    return by, of[by][at], [*at.tolist(), len(by)]
+
+
 def _recurring(table_: DataFrame, length: int, buckets: int, hot: int) -> DataFrame:
-    """block, found: for each block, places (4 bytes each) of the anchors that other blocks have too. The places of hot anchors
-    come with their highest bit set. A block names each distinct hash once, at its first place, with its number of occurrences."""
+    """block, found: for each block, (bucket, bits) of the anchors that go on: two bits for each of the block's distinct hashes in the
+    bucket, in order: other blocks have it; it is hot. A block sends its hashes and, compressed, how often each occurs in it."""
 
     def named(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "data")), strict=True):
                 h = block_anchors(_unpacked(data), np.array(sizes, np.int64), length)[3]
                 if not len(h):
                     continue
-                h, first, count = np.unique(h, return_index=True, return_counts=True)
-                rec = np.empty(len(h), _NAMED)
-                rec["hash"], rec["place"], rec["count"] = h, first, np.minimum(count, 2**31 - 1)
-                of = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(of, kind="stable")
-                at = np.flatnonzero(np.r_[True, np.diff(of[by]) != 0])
-                parts = np.split(rec[by], at[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(of[by][at]), pa.array(np.full(len(at), block)), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "block", "names"])
+                h, count = np.unique(h, return_counts=True)
+                by, own, at = _by_bucket(h, buckets)
+                count = np.minimum(count, 2**31 - 1).astype("<u4")
+                ends = list(zip(at, at[1:], strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array([h[by[a:z]].tobytes() for a, z in ends], pa.binary()), pa.array([pack.compress(count[by[a:z]].tobytes()) for a, z in ends], pa.binary())], ["bucket", "block", "hashes", "counts"])
 
     def met(f: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, _NAMED) for x in f["names"]]
-        block = np.repeat(f["block"].to_numpy(np.int64), [len(p) for p in parts])
-        rec = np.concatenate(parts)
-        _, inverse, blocks_with = np.unique(rec["hash"], return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, weights=rec["count"])
-        go = (blocks_with[inverse] > 1) | (total[inverse] > hot)
-        place = rec["place"] | np.where(total[inverse] > hot, np.uint32(1 << 31), np.uint32(0))
-        block, place = block[go], place[go]
-        by = np.argsort(block, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(block[by]) != 0]) if len(by) else np.zeros(0, np.int64)
-        return pd.DataFrame({"block": block[by][at], "found": [p.tobytes() for p in np.split(place[by], at[1:])] if len(at) else []})
-
-    rows = table_.select("block", "sizes", "data").mapInArrow(named, "bucket long, block long, names binary")
-    return rows.groupBy("bucket").applyInPandas(met, "block long, found binary").groupBy("block").agg(F.collect_list("found").alias("found"))
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(x, "<i8") for x in f["hashes"]]
+        counts = np.concatenate([np.frombuffer(unpack.decompress(x), "<u4") for x in f["counts"]])
+        _, inverse, blocks_with = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        total = np.bincount(inverse, weights=counts)
+        is_hot = total[inverse] > hot
+        go = (blocks_with[inverse] > 1) | is_hot
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        out = [np.packbits(np.r_[go[z - len(p) : z], is_hot[z - len(p) : z]]).tobytes() for p, z in zip(parts, ends, strict=True)]
+        return pd.DataFrame({"block": f["block"], "bucket": f["bucket"], "bits": out})
 
-_NAMED = np.dtype([("hash", "<i8"), ("place", "<u4"), ("count", "<i4")])
+    rows = table_.select("block", "sizes", "data").mapInArrow(named, "bucket long, block long, hashes binary, counts binary")
+    return rows.groupBy("bucket").applyInPandas(met, "block long, bucket long, bits binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
 
 
-def _segments(joined: DataFrame, length: int, buckets: int, flush: int = 24 << 20) -> DataFrame:
-    """Rows of two kinds: with a bucket, segments that have to meet; without one, repeats of a block."""
+def _segments(joined: DataFrame, length: int, buckets: int, spread: int, flush: int = 24 << 20) -> DataFrame:
+    """Rows of two kinds: with a bucket, segments that have to meet; without one, repeats of a block. buckets: of _recurring; spread: of
+    what has to meet. Texts and records are compressed."""
 
     def gathered(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         held: dict[bytes, tuple] = {}
         repeats: dict[int, list] = {}
         size = 0
@@ -151,7 +161,7 @@ def _segments(joined: DataFrame, length: int, buckets: int, flush: int = 24 << 2
             by: dict[int, list] = {}
             for key, (of, rec) in held.items():
                 by.setdefault(of, []).append((rec, key))
-            out = [(b, None, np.array([r for r, _ in x], _SEGMENT).tobytes(), b"".join([k for _, k in x])) for b, x in by.items()]
+            out = [(b, None, pack.compress(np.array([r for r, _ in x], _SEGMENT).tobytes()), pack.compress(b"".join([k for _, k in x]))) for b, x in by.items()]
             out += [(None, block, np.array(x, _SPAN).tobytes(), b"") for block, x in repeats.items()]
             held, repeats, size = {}, {}, 0
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "records", "data"])
@@ -176,15 +186,17 @@ def _segments(joined: DataFrame, length: int, buckets: int, flush: int = 24 << 2
                     continue
                 hashes, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
                 go, hot = count[inverse] > 1, np.zeros(len(hashes), bool)
-                if found:
-                    place = np.frombuffer(b"".join(found), "<u4")
-                    hot[inverse[place[place >> 31 == 1] & 0x7FFFFFFF]] = True
-                    go[place & 0x7FFFFFFF] = True
-                go |= hot[inverse]
+                met_by = {x["bucket"]: x["bits"] for x in found or ()}
+                by, own, ends = _by_bucket(hashes, buckets)
+                again = np.zeros(len(hashes), bool)
+                for bucket, a, z in zip(own.tolist(), ends, ends[1:], strict=False):
+                    bits = np.unpackbits(np.frombuffer(met_by[bucket], np.uint8), count=2 * (z - a)).astype(bool)
+                    again[by[a:z]], hot[by[a:z]] = bits[: z - a], bits[z - a :]
+                go |= again[inverse]
                 hot = hot[inverse]
                 begins = np.cumsum(sizes) - sizes
                 raw = data.tobytes()
-                of = (h.view(np.uint64) // np.uint64(buckets) % np.uint64(buckets)).astype(np.int64)
+                of = ((h.view(np.uint64) >> np.uint64(20)) % np.uint64(spread)).astype(np.int64)
                 at = np.flatnonzero(go)
                 for t, s, r, b, p, x in zip(text[at].tolist(), start[at].tolist(), run[at].tolist(), of[at].tolist(), begins[text[at]].tolist(), hot[at].tolist(), strict=True):
                     doc = LAST if ids[t] is None else ids[t]
@@ -192,7 +204,7 @@ def _segments(joined: DataFrame, length: int, buckets: int, flush: int = 24 << 2
                     if x:
                         for k in range(s, s + r):
                             key = raw[p + k : p + k + length]
-                            put(key, zlib.crc32(key) % buckets, (doc, uid, k, length))
+                            put(key, zlib.crc32(key) % spread, (doc, uid, k, length))
                     else:
                         put(raw[p + s : p + s + r + length - 1], b, (doc, uid, s, r + length - 1))
                     if size > flush:
@@ -207,8 +219,11 @@ def _met(length: int):
     """The repeats among the segments of a bucket."""
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
-        rec = np.concatenate([np.frombuffer(x, _SEGMENT) for x in f["records"]])
-        raw = b"".join(f["data"])
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        rec = np.concatenate([np.frombuffer(unpack.decompress(x), _SEGMENT) for x in f["records"]])
+        raw = b"".join([unpack.decompress(x) for x in f["data"]])
         ends = np.cumsum(rec["size"]).tolist()
         keys = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         # equal segments of several tasks: the earliest stays, the others are repeats as a whole
@@ -261,8 +276,9 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = 100, bytes_per_ta
     was cut apart are left out) and spans (array of low, high) in place of the digest; and the struct column `carry`, if named."""
     held = blocks(docs, text, carry)
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
-    found = _recurring(held, length, max(1, -(-total // bytes_per_task)), hot)
-    rows = written(_segments(held.join(found, "block", "left"), length, max(1, -(-total // (bytes_per_task // 8)))), "segments")
+    buckets = max(1, -(-total // bytes_per_task))
+    found = _recurring(held, length, buckets, hot)
+    rows = written(_segments(held.join(found, "block", "left"), length, buckets, 8 * buckets), "segments")
     met = rows.filter("bucket is not null").select("bucket", "records", "data").groupBy("bucket").applyInPandas(_met(length), "block long, records binary")
     repeats = met.unionByName(rows.filter("block is not null").select("block", "records")).groupBy("block").agg(F.collect_list("records").alias("records"))
 
