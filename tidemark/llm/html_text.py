@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block of text; what stands in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments leaves blank lines, and so does the edge of an article. Text lengths are summed over sliding
 windows of lines: a surge is where the sum leaves zero, a dive where it returns to it, and the text between them is kept. On pages
-that mark their article, the lines outside it are blank and every stretch in it is kept; on other pages, stretches that are short
-against the largest one, or are mostly links, go.
+that mark their article, the lines outside it are blank and every stretch in it is kept; on other pages, lines that are links alone
+are blank, and stretches that are short against the largest one, or are mostly links, go.
 
 Null html counts as empty and gives an empty text, as do pages without text. Rows are independent; repeated rows give equal results.
 """
@@ -129,6 +129,8 @@ def main_text(html: str | None, window: int = 3, share: float = 0.2, links: floa
     """The main text. window: lines of a block. share and links: on pages that mark no article, a stretch stays if it has that share of
     the largest one's length, and no larger part of it is links."""
     rows, marked = lines(html or "", window)
+    if not marked:  # menus that nothing marks as such: lines that are links alone
+        rows = [(t, n) if n < 0.9 * len(t) else ("", 0) for t, n in rows]
     size = [len(t) for t, _ in rows] + [0] * window
     sums, total = [], 0
     for i in range(len(rows) + 1):  # sum over lines i - window .. i - 1

@@ -121,7 +121,7 @@ class Model:
 
 _GLUE = str.maketrans("", "", " .*_-")
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, target: np.ndarray, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, target: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss below each row's target margin, by Newton steps over the rows that still have a loss."""
     x = np.c_[x, np.ones(len(x))]
     weight = weight / weight.sum()
@@ -190,7 +190,7 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
     for r in range(rounds):
         phi = np.stack([triples(w) for w in marks], 1)  # triples x landmarks
         values, vectors = np.linalg.eigh(phi.T @ phi)
-        good = values > 1e-6 * values.max()
+        good = values > 1e-3 * values.max()
         half = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) of the Nystroem map
         to = (phi @ half).astype(np.float32)
         witness = Counter(sure)
@@ -224,16 +224,17 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Slope, middle and base of the likeliest base + (1 - base) * logistic: the base is the share of toxic texts that no word shows,
     which so doesn't flatten the slope."""
-    best = (-np.inf, 1.0, 0.0, 0.0)
-    for at in np.unique(np.r_[np.quantile(m, np.linspace(0.5, 1, 21)), np.linspace(-0.75, 1.75, 21)]):
+    tried = []
+    for at in np.unique(np.r_[np.quantile(m, np.linspace(0.5, 1, 21)), np.linspace(-0.75, 1.75, 21)]).tolist():
         for slope in (1, 2, 3, 5, 8, 12):
             p = 1 / (1 + np.exp(-np.clip(slope * (m - at), -30, 30)))
             for base in (0.0, 0.01, 0.03, 0.06, 0.1):
                 q = np.clip(base + (1 - base) * p, 1e-3, 1 - 1e-3)
-                fit = float(np.where(y > 0, np.log(q), np.log(1 - q)).sum())
-                if fit > best[0]:
-                    best = (fit, float(slope), float(at), float(base))
-    return best[1:]
+                tried.append((float(np.where(y > 0, np.log(q), np.log(1 - q)).sum()), float(slope), at, base))
+    fit, slope, _, base = max(tried)
+    # where words are told apart by a wide gap, many middles fit as well: the median of these
+    level = sorted(t[2] for t in tried if t[0] >= fit - 0.5 and t[1] == slope and t[3] == base)
+    return slope, level[len(level) // 2], base
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
