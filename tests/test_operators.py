@@ -272,3 +272,21 @@ def test_streaming_windows(spark, tmp_path):
     q = online.online_templates(stream, miner, message="m", order_by="k", sink=lambda df, _: seen.extend(r.template_id for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert len(seen) == 6 and -1 not in seen
+
+
+def test_linear_auto_encoder_and_registry(spark, tmp_path):
+    from tidemark import registry
+    from tidemark.plans import training
+
+    g = np.random.default_rng(1)
+    line = g.normal(size=(60, 1)) @ g.normal(size=(1, 6)) + 2
+    df = frame_of(spark, [(i, x.reshape(3, 2).tolist()) for i, x in enumerate(line)], "k long, window array<array<double>>")
+    model, trials = training.searched(df, df, [{"k": 0}, {"k": 1}], key="k")
+    assert trials[1]["loss"] < 1e-9 < trials[0]["loss"]
+    (tmp_path / "m.json").write_text(model.to_json())
+    again = registry.load("reconstructor", str(tmp_path / "m.json"))
+    x = line[:2].reshape(2, 3, 2)
+    assert np.allclose(again(x), x)
+    assert {"linear", "mean"} <= set(registry.names("reconstructor"))
+    with pytest.raises(KeyError):
+        registry.make("reconstructor", {"name": "none"})
