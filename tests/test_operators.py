@@ -290,3 +290,22 @@ def test_linear_auto_encoder_and_registry(spark, tmp_path):
     assert {"linear", "mean"} <= set(registry.names("reconstructor"))
     with pytest.raises(KeyError):
         registry.make("reconstructor", {"name": "none"})
+
+
+def test_drift_statistics_by_group_equal_single_ones(spark):
+    g = np.random.default_rng(3)
+    rows = [(f, float(v), r) for f, shift in (("a", 0.0), ("b", 1.0), ("c", 5.0)) for r in (True, False) for v in g.normal(0 if r else shift, 1, 28)] + [("d", 1.0, r) for r in (True, False) for _ in range(6)]
+    df = frame_of(spark, rows, "f string, v double, r boolean")
+    many = {x.f: x for x in stats.psi_by_group(df, "f", "v", "r").collect()}
+    ks = {x.f: x.ks for x in stats.ks_by_group(df, "f", "v", "r").collect()}
+    for f in "abcd":
+        own = df.filter(F.col("f") == f)
+        one = stats.psi(own, "v", "r", stats.psi_bins(own.filter("r").count())).first()
+        assert (many[f].psi, many[f].n_bins) == (pytest.approx(one.psi), one.n_bins)
+        assert ks[f] == pytest.approx(stats.ks_and_wasserstein(own, "v", "r").first().ks)
+    ref = np.array([v for f, v, r in rows if f == "b" and r])
+    cur = np.array([v for f, v, r in rows if f == "b" and not r])
+    edges = np.percentile(ref, np.linspace(0, 100, 6))
+    edges[0], edges[-1] = min(edges[0], cur.min()) - 1e-9, max(edges[-1], cur.max()) + 1e-9
+    p, q = (np.clip(np.histogram(x, edges)[0] / 28, 1e-6, None) for x in (ref, cur))
+    assert many["b"].psi == pytest.approx(((q - p) * np.log(q / p)).sum())

@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.frame import columns_of
 from tidemark.operators.order import running_totals
 
 EPSILON = 1e-6
@@ -127,10 +126,38 @@ def psi(df: DataFrame, value: str, is_reference: str, n_bins: int, eps: float =
     return all_bins.select(F.when(ok, F.when(F.size("e") < 2, 0.0).otherwise(total + F.lit(0.0) * empty)).alias("psi"), F.when(ok, F.size("e") - 1).otherwise(n_bins).alias("n_bins"))
 
 
+def _finite(df: DataFrame, group: str, value: str, is_reference: str) -> DataFrame:
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(is_reference).alias("r"))
+
+
+def ks_by_group(df: DataFrame, group: str, value: str, is_reference: str) -> DataFrame:
+    """T-06: group, ks: as ks_and_wasserstein, for many groups of few rows at once (a window for each group)."""
+    from pyspark.sql import Window
+
+    per = _finite(df, group, value, is_reference).groupBy("g", "x").agg(F.count_if("r").alias("a"), F.count_if(~F.col("r")).alias("b"))
+    w, whole = Window.partitionBy("g").orderBy("x"), Window.partitionBy("g")
+    steps = per.select("g", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))
+    return steps.filter("n > 0 and m > 0").groupBy(F.col("g").alias(group)).agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("ks"))
+
+
+def psi_by_group(df: DataFrame, group: str, value: str, is_reference: str, most: int = 5, per_bin: int = 5, eps: float = EPSILON) -> DataFrame:
+    """T-03, T-04: group, psi, n_bins: as psi, for all groups at once; the number of bins follows from the reference's rows."""
+    rows = _finite(df, group, value, is_reference)
+    ref = F.when(F.col("r"), F.col("x"))
+    wanted = F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n") / per_bin).cast("int")))
+    facts = rows.groupBy("g").agg(F.count_if("r").alias("n"), F.count_if(~F.col("r")).alias("m"), *(F.percentile(ref, [i / b for i in range(b + 1)]).alias(f"q{b}") for b in range(2, most + 1)))
+    edges = F.element_at(F.array(*(F.col(f"q{b}") for b in range(2, most + 1))), wanted - 1)
+    facts = facts.select("g", "n", "m", wanted.alias("wanted"), F.array_distinct(edges).alias("e"))
+    inner = F.slice("e", 2, F.greatest(F.lit(0), F.size("e") - 2))
+    bin_of = F.aggregate(inner, F.lit(0), lambda a, b: a + F.when(F.col("x") >= b, 1).otherwise(0))
+    counted = rows.join(facts, "g").groupBy("g", bin_of.alias("bin")).agg(F.count_if("r").alias("cr"), F.count_if(~F.col("r")).alias("cc"))
+    share = lambda c, n: F.greatest(F.col(c) / F.greatest(F.col(n), F.lit(1)), F.lit(eps))
+    part = (share("cc", "m") - share("cr", "n")) * F.log(share("cc", "m") / share("cr", "n"))
+    total = counted.join(facts, "g").groupBy("g").agg(F.sum(part).alias("psi"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("e").alias("e"), F.first("wanted").alias("wanted"))
+    ok = (F.col("n") >= 2) & (F.col("m") >= 2)
+    return total.select(F.col("g").alias(group), F.when(ok, F.when(F.size("e") < 2, 0.0).otherwise(F.col("psi"))).alias("psi"), F.when(ok, F.size("e") - 1).otherwise(F.col("wanted")).alias("n_bins"))
+
+
 def robust_d(med_ref: Column, med_test: Column, iqr_ref: Column) -> Column:
     """T-05: null if the reference's interquartile range is under 1e-6."""
     return F.when(iqr_ref >= EPSILON, (med_test - med_ref) / iqr_ref)
-
-
-def keys_of(x) -> list[Column]:
-    return columns_of(x)

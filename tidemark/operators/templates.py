@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import configparser
 import json
-import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -141,7 +140,7 @@ class TemplateTree:
         self.templates.pop(template_id, None)
 
     def to_json(self) -> str:
-        return json.dumps({"config": asdict(self.config), "next": self._next, "templates": [asdict(t) for t in self.templates.values()], "root": _plain(self._root)})
+        return json.dumps({"config": asdict(self.config), "next": self._next, "templates": [asdict(t) for t in self.templates.values()], "root": {str(k): v for k, v in self._root.items()}})
 
     @classmethod
     def from_json(cls, text: str) -> TemplateTree:
@@ -152,10 +151,6 @@ class TemplateTree:
         return tree
 
 
-def _plain(node: dict) -> dict:
-    return {str(k): v for k, v in node.items()}
-
-
 class TemplateMiner:
     """L-06 .. L-12: fitting and matching of a text column."""
 
@@ -243,7 +238,3 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     total = dims.agg(F.sum("within").alias("w"), F.sum("between").alias("b"), F.max("k").alias("k"), F.max("n").alias("n"))
     return total.select(F.when((F.col("k") > 1) & (F.col("w") > 0) & (F.col("n") > F.col("k")), F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1))).alias("score"))
 
-
-def token_shape(rules: Sequence[tuple[str, str]]) -> list[re.Pattern]:
-    """The rules' patterns, compiled: a check of rule sets before they go to the JVM."""
-    return [re.compile(p) for p, _ in rules]

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import daypart_medians, ks_and_wasserstein, ks_p_value, psi, psi_bins, rows_per_day, sampling_interval, zero_rate
+from tidemark.functions.stats import daypart_medians, ks_by_group, ks_p_value, psi_by_group, rows_per_day, sampling_interval, zero_rate
 from tidemark.operators.frame import feature_group, split_by_dates
 from tidemark.operators.scaling import Scaler
 
@@ -96,14 +96,16 @@ def _round(x, digits: int):
 
 
 def tier1(ref: DataFrame, test: DataFrame, ref_agg: DataFrame, test_agg: DataFrame, features: Sequence[str], groups: Sequence[str], scaler: Scaler, aggregation: str, tier0_status: str, thresholds: Mapping = THRESHOLDS, exclude_groups: Sequence[str] = ()) -> DataFrame:
-    """T-08: a row of effect sizes and the class for each feature. Medians and quantiles of all features are one job; only numbers for
+    """T-08: a row of effect sizes and the class for each feature. Medians, quantiles, PSI and KS of all features are one job each; only numbers for
     each feature reach the driver, where they are rounded as reports show them."""
     spark = ref.sparkSession
     za, zb = zero_rates(ref, features), zero_rates(test, features)
     sides = []
     for df in (ref_agg, test_agg):
         sides.append(df.agg(*(x for c in features for x in (F.count(c).alias(f"{c}|n"), F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}|q")))).first().asDict())
-    both = scaler.transform(ref_agg.select(*features), features).withColumn("_r", F.lit(True)).unionByName(scaler.transform(test_agg.select(*features), features).withColumn("_r", F.lit(False)))
+    sizes = scaler.transform(ref_agg.select(*features), features).withColumn("_r", F.lit(True)).unionByName(scaler.transform(test_agg.select(*features), features).withColumn("_r", F.lit(False))).unpivot("_r", list(features), "feature", "value")
+    shapes = {r["feature"]: r for r in psi_by_group(sizes, "feature", "value", "_r", thresholds["psi_bins_max"], thresholds["psi_min_samples_per_bin"]).collect()}
+    steps = {r["feature"]: r["ks"] for r in ks_by_group(sizes, "feature", "value", "_r").collect()}
     rows = []
     for c in features:
         group = feature_group(c, groups)
@@ -115,13 +117,13 @@ def tier1(ref: DataFrame, test: DataFrame, ref_agg: DataFrame, test_agg: DataFra
             sparse = za[c] >= thresholds["zero_rate_sparse_threshold"]
             row |= {"sparse_metric": sparse, "n_periods_ref": n, "n_periods_test": m, "median_ref": _round(q[1], 4), "median_test": _round(p[1], 4), "median_shift_pct": _round(shift, 2), "robust_d": _round((p[1] - q[1]) / iqr, 3) if iqr >= 1e-6 else math.nan, "psi": math.nan}
             if not sparse and n >= thresholds["psi_min_ref_days"]:
-                f = psi(both, c, "_r", psi_bins(n, thresholds["psi_bins_max"], thresholds["psi_min_samples_per_bin"])).first()
+                f = shapes.get(c)
                 value = math.nan if f is None or f["psi"] is None else f["psi"]
                 signal = "n/a" if math.isnan(value) else "severe" if value >= thresholds["psi_report_severe"] else "moderate" if value >= thresholds["psi_report_moderate"] else "none"
                 row |= {"psi": _round(value, 4), "psi_bins": f["n_bins"] if f else 0, "psi_signal": signal}
             row |= {"ks_stat": math.nan, "ks_pvalue": math.nan}
             if n >= 5 and m >= 5:
-                k = ks_and_wasserstein(both, c, "_r").first()["ks"]
+                k = steps.get(c, math.nan)
                 row |= {"ks_stat": _round(k, 4), "ks_pvalue": ks_p_value(k, n, m)}
         rows.append(row)
     schema = "feature string, group string, aggregation string, excluded boolean, sparse_metric boolean, n_periods_ref long, n_periods_test long, zero_rate_ref double, zero_rate_test double, zero_rate_delta double, median_ref double, median_test double, median_shift_pct double, robust_d double, psi double, psi_bins int, psi_signal string, ks_stat double, ks_pvalue double"
@@ -134,11 +136,16 @@ def monitor(df: DataFrame, *, timestamp_col: str, features: Sequence[str], group
     """T-01, T-09: the report and the table of features."""
     if mode not in MODES:
         raise ValueError(f"unknown aggregation mode: {mode}")
-    a, b = (split_by_dates(df, *span, timestamp_col) for span in (ref, test))
-    status, checks, zero = tier0(a, b, features, groups, metrics, timestamp_col, order_by, thresholds)
-    weekdays = mode == "daypart_weekdays"
-    am, bm = (daypart_medians(x, features, timestamp_col, tz, weekdays_only=weekdays) for x in (a, b))
-    table = tier1(a, b, am, bm, features, groups, Scaler("custom").fit(a, features), mode, status, thresholds, exclude_groups)
+    held = df.select(*dict.fromkeys([timestamp_col, order_by, *features])).persist()  # read by every gate and statistic
+    try:
+        a, b = (split_by_dates(held, *span, timestamp_col) for span in (ref, test))
+        status, checks, zero = tier0(a, b, features, groups, metrics, timestamp_col, order_by, thresholds)
+        weekdays = mode == "daypart_weekdays"
+        am, bm = (daypart_medians(x, features, timestamp_col, tz, weekdays_only=weekdays) for x in (a, b))
+        table = tier1(a, b, am, bm, features, groups, Scaler("custom").fit(a, features), mode, status, thresholds, exclude_groups)
+        counts = {"ref": a.count(), "test": b.count()}
+    finally:
+        held.unpersist()
     rows = [r.asDict() for r in table.collect()]  # one for each feature
     classes = sorted({r["input_drift_class"] for r in rows})
     names = sorted({r["group"] for r in rows})
@@ -146,8 +153,8 @@ def monitor(df: DataFrame, *, timestamp_col: str, features: Sequence[str], group
     report = {
         "study": study,
         "run_prefix": run_prefix,
-        "reference": {"start": ref[0], "end": ref[1], "rows": a.count()},
-        "test": {"start": test[0], "end": test[1], "rows": b.count()},
+        "reference": {"start": ref[0], "end": ref[1], "rows": counts["ref"]},
+        "test": {"start": test[0], "end": test[1], "rows": counts["test"]},
         "tier0_status": status,
         "tier0_checks": checks,
         "tier0_group_zero_rates": zero,
