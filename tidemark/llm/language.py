@@ -82,12 +82,13 @@ def fitted(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 8, rate: fl
         if not b:
             w = t.split()
             parts = [w] + [w[a : a + int(rng.integers(2, 41))] for a in rng.integers(0, len(w), snippets)]
-            bags += [grams(p)[0] for p in parts]
+            for p in parts:
+                ids = grams(p)[0].astype(np.int32)
+                bags.append(rng.choice(ids, 500) if len(ids) > 500 else ids)  # in a step, 500 of its grams stand for a long text's
             labels += [langs.index(g)] * len(parts)
     embed = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     labels = np.array(labels, np.int64)
-    bags = [rng.choice(b, 500) if len(b) > 500 else b for b in bags]  # in a step, 500 of its grams stand for a long text's
     for epoch in range(epochs if len(labels) else 0):
         step = rate * (1 - epoch / epochs)
         for at in np.array_split(rng.permutation(len(labels)), -(-len(labels) // 64)):
@@ -106,7 +107,7 @@ def fitted(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 8, rate: fl
             embed[ids[by][first]] -= np.add.reduceat((step * 200 * back_to).astype(np.float32)[own[by]], first, axis=0)
     model = Model(langs, embed @ out, bias.astype(np.float64), 1.0, 0.0)
     held = [r for r, b in zip(rows, back, strict=True) if b] or rows
-    p = model.probabilities([t for t, _ in held])
+    p = np.concatenate([model.probabilities([t for t, _ in held[i : i + 200]]) for i in range(0, len(held), 200)])
     truth = np.array([langs.index(g) for _, g in held])
     logits = np.log(np.maximum(p, 1e-30))
     heats = [0.1, 0.2, 0.35, 0.5, 0.75, 1, 1.5, 2, 3, 5]

@@ -166,9 +166,15 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    bags = [sorted({p for w in t.split() if (p := plain(w))} | {plain(m[0].translate(_GLUE)) for m in _SPELLED.finditer(t)}) for t, _ in rows]
     once = _copies([t for t, _ in rows], y)
-    texts, y, bags = [rows[i][0] for i in once], y[once], [bags[i] for i in once]
+    texts, y = [rows[i][0] for i in once], y[once]
+    del rows
+    forms: dict[str, str] = {}  # one string for each word, however many texts have it
+    bags = []
+    for t in texts:
+        own = {forms.setdefault(p, p) for w in t.split() if (p := plain(w))}
+        bags.append(sorted(own | {forms.setdefault(p, p) for m in _SPELLED.finditer(t) if (p := plain(m[0].translate(_GLUE)))}))
+    del forms
     toxic, clean = (Counter(w for b, v in zip(bags, y, strict=True) if v == c for w in b) for c in (1, 0))
     n1, n0 = int(y.sum()), int((1 - y).sum())
     share = n1 / n0
@@ -188,11 +194,11 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
     own = [[w for w in b if w in odds] if v else [] for b, v in zip(bags, y, strict=True)]
     score, floor, hard = {w: excess[w] for w in sure}, 0.0, set()
     for r in range(rounds):
-        phi = np.stack([triples(w) for w in marks], 1)  # triples x landmarks
-        values, vectors = np.linalg.eigh(phi.T @ phi)
+        phi = np.stack([triples(w).astype(np.float32) for w in marks], 1)  # triples x landmarks
+        values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
         good = values > 1e-3 * values.max()
         half = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) of the Nystroem map
-        to = (phi @ half).astype(np.float32)
+        to = phi @ half.astype(np.float32)
         witness = Counter(sure)
         for b in own:
             w = max(b, key=lambda x: (score.get(x, -9.0), x), default=None)
@@ -207,7 +213,7 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
         weight[: len(pos)] *= 0.5 * weight[len(pos) :].sum() / weight[: len(pos)].sum()
         target = np.array([1 + min(1.0, max(0.0, excess[w] / 6 - 1)) for w in pos] + [1.0] * len(neg))  # beyond doubt: twice the margin
         w, b = _svm(x, np.r_[np.ones(len(pos)), -np.ones(len(neg))], weight, target)
-        fold_in = (phi @ (half @ w)).astype(np.float64)
+        fold_in = phi.astype(np.float64) @ (half @ w)
         known = sorted(odds) + pool
         margin = dict(zip(known, (kernel_sums(known, fold_in) + b).tolist(), strict=True))
         near = sorted((x for x in pool if x not in witness), key=lambda x: (-margin[x], x))[:300]
@@ -217,7 +223,7 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
         # a word that is no sure one is a witness only where the machine is certain of it
         score, floor = {w: margin[w] + (w in certain) for w in odds}, 0.5
     model = Model(fold_in, b)
-    m = model.margins(texts)
+    m = np.concatenate([model.margins(texts[i : i + 200]) for i in range(0, len(texts), 200)])
     model.slope, model.at, model.base = _logistic(m, y)
     return model
 
@@ -254,7 +260,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple
     names = schema.names
     return docs.select(*keep, F.col(text)).mapInArrow(score, schema)
 
-def model_of(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model | None:
+def model_of(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model | None:
     """A model fitted on at most `bound` labelled documents: docs has doc_id and text, labels doc_id and toxic."""
     taken = sample(labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic"), "doc_id", bound, seed=1)
     marks = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["toxic"])) for r in taken], "doc_id long, toxic int")
