@@ -88,7 +88,8 @@ class Lexicon:
         for n in sizes:
             parts.append(data[at : at + n])
             at += n
-        self.keys, self.targets, self.outputs, self.final, self.ends, self.ids = parts
+        self.keys, self.targets, self.outputs, self.final, ends, ids = map(np.asarray, parts)  # still mapped
+        self.raw, self.ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         self.states = len(self.final)
 
     def find(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -116,7 +117,8 @@ class Lexicon:
             place[live] += self.outputs[arc]
             depth += 1
         out = {}
+        place = place.tolist()
         for i in np.concatenate(hits).tolist():
             n = place[i]
-            out[words[i]] = self.ids[self.ends[n] : self.ends[n + 1]].astype("<u4").tobytes()
+            out[words[i]] = self.raw[self.ends[n] : self.ends[n + 1]]
         return out

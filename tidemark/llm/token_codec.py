@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Cache, table
+from tidemark.llm.common import Cache, dropped, table, written
 from tidemark.llm.lexicon import Lexicon, compiled
 from tidemark.llm.vocab import ODD, WordCoder
 
@@ -52,9 +52,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon_block(docs: DataFrame, path: str, text: str = "text", size: int = 65_536) -> bytes:
-    """The compiled lexicon of the `size` most frequent words over all texts (ties: the smaller word). `size` bounds it to a few MB."""
-    top = word_counts(docs, text).filter(F.length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()
-    words = [r[0].encode() for r in top]
+    """The compiled lexicon of the most frequent pieces over all texts, at most `size` (of equally frequent ones all or none). `size` bounds
+    it to a few MB."""
+    counts = written(word_counts(docs, text).filter(F.length("piece") <= 64), "pieces")
+    # the least count that at most `size` pieces have or exceed: a histogram of counts is small, whatever the number of pieces
+    least, total = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["pieces"]
+        if total > size:
+            break
+        least = r["n"]
+    words = [] if least is None else [r[0].encode() for r in counts.filter(F.col("n") >= least).select("piece").collect()]
+    dropped(counts)
     if not words:
         return compiled([], [])
     ids, at = WordCoder(path).vocab.merge_all(words)
@@ -64,7 +73,7 @@ def lexicon_block(docs: DataFrame, path: str, text: str = "text", size: int = 65
 class Codec:
     """Encodes texts to ids and decodes ids as the tokenizers library does for a vocabulary without decoder."""
 
-    def __init__(self, path: str, block: bytes | None = None, cache: int = 100_000):
+    def __init__(self, path: str, block: bytes | None = None, cache: int = 150_000):
         self.coder = WordCoder(path, Lexicon(block) if block else None)
         self.texts = self.coder.vocab.texts
         self.numbers = [str(i) for i in range(len(self.texts))]
@@ -83,11 +92,11 @@ class Codec:
         for c, raw in zip(new, self.coder.ids_of_chunks(new), strict=True):
             cache.young[c] = self._part(np.frombuffer(raw, "<u4").tolist())
         for s, w in zip(split, wholes, strict=True):
-            yield [self._part(w)] if w is not None else [p for p in map(cache.young.__getitem__, s) if p[0]]
+            yield [p for p in [self._part(w)] if p] if w is not None else list(filter(None, map(cache.young.__getitem__, s)))
         cache.turn()
 
-    def _part(self, ids: list[int]):
-        return len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids)
+    def _part(self, ids: list[int]) -> tuple:
+        return () if not ids else (len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids))
 
 
 @lru_cache(maxsize=2)
@@ -105,12 +114,13 @@ def encoded(docs: DataFrame, path: str, text: str = "text", block: bytes | None
         codec = _codec(path, key, held)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for at in range(0, len(texts), 256):
-                part = [t or "" for t in texts[at : at + 256]]
+            for at in range(0, len(texts), 512):
+                part = [t or "" for t in texts[at : at + 512]]
                 n, ids, out = [], [], []
                 for parts in codec.encode_batch(part):
-                    n.append(sum([p[0] for p in parts]))
-                    a, b = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+                    sizes, a, b = zip(*parts, strict=True) if parts else ((), (), ())
+                    n.append(sum(sizes))
+                    a, b = " ".join(a), " ".join(b)
                     if digests:
                         a, b = hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()
                     else:
