@@ -318,6 +318,25 @@ def test_near_vectors(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=key) == sorted(want, key=key)
 
 
+def at_angles(degrees, seed=0, dim=16, wobble=0.0):
+    """Vectors of a plane at these angles, with a bit of noise outside it."""
+    g = np.random.default_rng(seed)
+    x = np.zeros((len(degrees), dim))
+    x[:, 0], x[:, 1] = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    x[:, 2:] = g.normal(scale=wobble, size=(len(degrees), dim - 2))
+    return x
+
+
+def test_links_that_closer_neighbours_crowd_out(spark):
+    # two dense clusters, and one pair across that is a link (20 degrees) though both have many closer neighbours
+    x = at_angles([*np.linspace(0, 6, 40), *np.linspace(26, 32, 40)])
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), k=4, sample=0).collect()
+    n = (x @ x.T >= 0.93).sum(1) - 1
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
+
+
 def test_top_k(spark):
     df = vectors(spark)
     queries = df.filter("vec_id % 20 = 0")
