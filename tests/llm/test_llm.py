@@ -337,6 +337,24 @@ def test_links_that_closer_neighbours_crowd_out(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
 
 
+@pytest.mark.parametrize("more", [{}, {"whole": 0}])
+def test_no_audit_passes_by_construction(spark, more):
+    # pairs of near copies that a search by few hyperplanes mostly misses; an audit of 8 nodes cannot stand for the others
+    g = np.random.default_rng(3)
+    x = np.repeat(g.normal(size=(900, 16)), 2, 0)
+    x[1::2] += g.normal(scale=0.2, size=(900, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(u @ u.T >= 0.93, 1)).tolist()
+    root = slow_components(len(x), near)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), k=1, tables=1, rounds=0, sample=8, audits=2, **more).collect()
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert {r.vec_id: r.component_id for r in got} == {i: least[r] for i, r in enumerate(root)}
+    assert sum(r.n_links for r in got) == 2 * len(near)
+
+
 def test_top_k(spark):
     df = vectors(spark)
     queries = df.filter("vec_id % 20 = 0")
