@@ -355,6 +355,28 @@ def test_no_audit_passes_by_construction(spark, more):
     assert sum(r.n_links for r in got) == 2 * len(near)
 
 
+def test_small_label_beside_a_large_one(spark):
+    # 8 hyperplanes suit the large label; in the small one they would part many pairs
+    g = np.random.default_rng(6)
+    small = np.repeat(g.normal(size=(40, 16)), 2, 0)
+    small[1::2] += g.normal(scale=0.2, size=(40, 16))
+    u = small / np.linalg.norm(small, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(u @ u.T >= 0.93, 1)).tolist()
+    large = g.normal(size=(20_000, 16))
+    rows = [(i, "small" if i < 80 else "large", i, v.astype("<f8").tobytes()) for i, v in enumerate([*small, *large])]
+    nodes = spark.createDataFrame(rows, "node long, part string, root long, vec binary")
+    got = nn_descent._first_lists(nodes, nodes.groupBy("part").agg(F.count("*").alias("n")), 4, 1, 11, 0.93).filter("kind = 2 and u < 80").collect()
+    roots = slow_components(80, [(r.u, r.v) for r in got])
+    assert len(near) > 30 and roots == slow_components(80, near)
+
+
+def test_tables_grow_with_hyperplanes():
+    for n in (200, 100_000, 10_000_000):
+        bits, tables = nn_descent._shape(n, 0.93, 10, 0.999)
+        assert n / 2**bits <= nn_descent.GROUP / 4 or bits == 1
+        assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.999
+
+
 def test_top_k(spark):
     df = vectors(spark)
     queries = df.filter("vec_id % 20 = 0")
