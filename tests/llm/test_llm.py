@@ -276,6 +276,14 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+def test_short_parts_of_unmarked_pages():
+    long = ("long text " * 100).strip()
+    page = f"<h1>T</h1><div class=ad>x</div><p>{long}</p><form>f</form><h2>Part</h2><p>short</p><div class=share>s</div><p>Closing <a href=x>word</a> here.</p>"
+    assert html_text.main_text(f"<div>{page}</div>") == f"T {long} Part short Closing word here."
+    menu = "<ul><li><a href=x>one</a></li><li>| <a href=y>another</a></li></ul>"
+    assert html_text.main_text(f"{menu}<div class=ad>x</div><div>{page}</div><div class=ad>x</div>{menu}") == f"T {long} Part short Closing word here."
+
+
 def test_pages_with_null_columns(spark):
     pages = spark.createDataFrame([(None, None, "<p>a</p>"), (1, "u", None), (1, "u", None)], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extracted(pages).collect()] == [(None, "a", 1), (1, "", 0), (1, "", 0)]

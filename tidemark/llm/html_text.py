@@ -4,7 +4,7 @@ Markup is stripped to lines, one for each block of text; what stands in menus, h
 scripts, styles and reader comments leaves blank lines, and so does the edge of an article. Text lengths are summed over sliding
 windows of lines: a surge is where the sum leaves zero, a dive where it returns to it, and the text between them is kept. On pages
 that mark their article, the lines outside it are blank and every stretch in it is kept; on other pages, lines that are links alone
-are blank, and stretches that are short against the largest one, or are mostly links, go.
+are blank, and stretches that are mostly links go; every other stretch is kept, however short.
 
 Null html counts as empty and gives an empty text, as do pages without text. Rows are independent; repeated rows give equal results.
 """
@@ -125,9 +125,8 @@ def lines(html: str, gap: int) -> tuple[list[tuple[str, int]], bool]:
     return out, marked
 
 
-def main_text(html: str | None, window: int = 3, share: float = 0.2, links: float = 0.5) -> str:
-    """The main text. window: lines of a block. share and links: on pages that mark no article, a stretch stays if it has that share of
-    the largest one's length, and no larger part of it is links."""
+def main_text(html: str | None, window: int = 3, links: float = 0.5) -> str:
+    """The main text. window: lines of a block. links: on pages that mark no article, a stretch stays if no larger part of it is links."""
     rows, marked = lines(html or "", window)
     if not marked:  # menus that nothing marks as such: lines that are links alone
         rows = [(t, n) if n < 0.9 * len(t) else ("", 0) for t, n in rows]
@@ -149,8 +148,7 @@ def main_text(html: str | None, window: int = 3, share: float = 0.2, links: floa
     for a, b in stretches:
         own = [(t, n) for t, n in rows[a:b] if t]
         kept.append((sum(len(t) for t, _ in own), sum(n for _, n in own), [t for t, _ in own]))
-    most = max((n for n, k, _ in kept if k <= links * n), default=0)
-    return " ".join(t for n, k, own in kept if marked or n >= share * most and k <= links * n for t in own)
+    return " ".join(t for n, k, own in kept if marked or k <= links * n for t in own)
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
