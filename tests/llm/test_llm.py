@@ -422,6 +422,14 @@ def test_toxicity_tolerates_gaps(spark):
     assert {r.predicted for r in toxicity.scored(docs, None).collect()} == {0}
 
 
+def test_toxicity_fits_four_thousand_labels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda rows: seen.append(len(rows)))
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text")
+    toxicity.model_of(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic"))
+    assert seen == [4000]
+
+
 def test_string_kernel_by_brute_force():
     from itertools import combinations
 
