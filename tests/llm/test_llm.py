@@ -430,6 +430,19 @@ def test_toxicity_fits_four_thousand_labels(spark, monkeypatch):
     assert seen == [4000]
 
 
+@pytest.mark.parametrize("first", [0x430, 0x3B1, 0x627, 0x4E00, 0x20000])
+def test_toxicity_in_other_scripts(first):
+    own = random.Random(first)
+    letters = [chr(c) for c in range(first, first + 40) if chr(c).isalpha()][:24]
+    pool = ["".join(own.choices(letters, k=own.randint(5, 8))) for _ in range(200)]
+    bad = ["".join(own.choices(letters, k=7)) for _ in range(3)]
+    text = lambda toxic: " ".join([*own.choices(pool, k=12), *([own.choice(bad)] if toxic else [])])
+    model = toxicity.fitted([(text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)])
+    truth = [i % 2 for i in range(100)]
+    hit = np.array([s >= 0.3 for s in model.scores([text(t) for t in truth])]) == np.array(truth, bool)
+    assert hit.mean() > 0.9
+
+
 def test_string_kernel_by_brute_force():
     from itertools import combinations
 

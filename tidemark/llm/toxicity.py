@@ -29,8 +29,9 @@ from tidemark.llm.common import fold, table
 from tidemark.llm.samples import sample, words_of
 
 SPAN, DECAY, SIZE = 8, 0.7, 29
-#: Letters are 1 to 26, the word's edges 27 and 28, all else 0: a place that matches nothing.
-_CODES = np.zeros(256, np.int32)
+#: Letters are 1 to 26, those other than a to z by a hash that they share; the word's edges are 27 and 28, all else 0: a place that
+#: matches nothing.
+_CODES = np.array([1 + c * 2654435761 % 2**32 * 26 // 2**32 if c > 127 and chr(c).isalpha() else 0 for c in range(0x33480)], np.int32)
 _CODES[97:123] = np.arange(1, 27)
 #: Characters written in place of letters.
 LOOKALIKES = str.maketrans("0134578@$!|", "oieastbasil")
@@ -61,9 +62,9 @@ def _coded(words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
                 by.setdefault(len(part), []).append((i, part))
     out = {}
     for n, xs in by.items():
-        raw = np.frombuffer("".join(w for _, w in xs).encode("ascii", "replace"), np.uint8).reshape(len(xs), n)
+        raw = np.frombuffer("".join(w for _, w in xs).encode("utf-32-le", "replace"), "<u4").reshape(len(xs), n)
         codes = np.full((len(xs), n + 2), 27, np.int32)
-        codes[:, 1:-1] = _CODES[raw]
+        codes[:, 1:-1] = _CODES[np.where(raw < len(_CODES), raw, 0)]
         codes[:, -1] = 28
         out[n] = np.array([i for i, _ in xs]), codes
     return out
@@ -87,7 +88,7 @@ def kernel_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
 def triples(word: str) -> np.ndarray:
     """A word's place in the kernel's feature space."""
     out = np.zeros(SIZE**3)
-    c = [27, *(int(_CODES[ord(x)]) if ord(x) < 256 else 0 for x in word[:_LONG]), 28]
+    c = [27, *(int(_CODES[ord(x)]) if ord(x) < len(_CODES) else 0 for x in word[:_LONG]), 28]
     for i, j, k in combinations(range(len(c)), 3):
         if k - i < SPAN and c[i] and c[j] and c[k]:
             out[(c[i] * SIZE + c[j]) * SIZE + c[k]] += DECAY ** (k - i + 1)
