@@ -116,11 +116,60 @@ def test_packing(spark, library):
     assert len(by_sequence) <= -(-total // 64) * 1.02 + 1
 
 
-def test_best_fit_fills_the_fullest():
-    bins = packing.best_fit(np.array([60, 50, 40, 40, 10]), 100)
-    assert bins[0] == bins[2] and bins[1] == bins[3] == bins[4]
-    bins = packing._emitted(packing.pd.DataFrame({"full": [False] * 3, "total": [5, 1, 9]}), 2)
-    assert bins["full"].tolist() == [False, False, True]
+def one_by_one(lengths, size):
+    """Best-fit, largest first, item by item: the totals of the bins."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(size - t, i) for i, t in enumerate(bins) if t + n <= size]
+        if fits:
+            bins[min(fits)[1]] += n
+        else:
+            bins.append(n)
+    return sorted(bins)
+
+
+def test_best_fit_by_counts():
+    assert packing.best_fit([60, 50, 40, 10], [1, 1, 2, 1], 100) == [(1, ((60, 1), (40, 1)), 100), (1, ((50, 1), (40, 1), (10, 1)), 100)]
+    for _ in range(200):
+        items = [rng.choice([rng.randint(1, 100), 51, 49, 7]) for _ in range(rng.randint(1, 120))]
+        kinds = sorted(set(items))
+        bins = packing.best_fit(kinds, [items.count(k) for k in kinds], 100)
+        assert sorted(t for m, _, t in bins for _ in range(m)) == one_by_one(items, 100)
+        assert all(sum(n * c for n, c in x) == t for _, x, t in bins)
+        assert {k: sum(m * c for m, x, _ in bins for n, c in x if n == k) for k in kinds} == {k: items.count(k) for k in kinds}
+    with pytest.raises(ValueError):
+        packing.best_fit([101], [1], 100)
+
+
+def sequences(rows, size):
+    """The number of sequences, after a look at their offsets and totals."""
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(n for _, n in own) <= size
+    return len(by)
+
+
+def items(spark, lengths, tasks):
+    return spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartitionByRange(tasks, "doc_id")
+
+
+def test_halves_of_different_tasks_meet(spark):
+    # no bin of a task is nearly full, and closed bins of two tasks do not fit together
+    rows = packing.packed(items(spark, [2100] * 900 + [1900] * 900, 2), items_per_task=200).collect()
+    assert len(rows) == 1800 and sequences(rows, 4096) == 900
+
+
+def test_packing_is_close_to_one_best_fit_over_all(spark):
+    g = np.random.default_rng(8)
+    lengths = np.minimum(4096, 1 + g.lognormal(6, 1.5, 4000)).astype(int).tolist()
+    for tasks, fan_in in ((1, 2), (9, 2), (9, 16)):
+        rows = packing.packed(items(spark, lengths, tasks), fan_in=fan_in, items_per_task=300).collect()
+        assert len({r.doc_id for r in rows}) == len(rows) == len(lengths)
+        n = sequences(rows, 4096)
+        assert n <= len(one_by_one(lengths, 4096)) * 1.01 + 1 and n >= -(-sum(lengths) // 4096)
 
 
 # SimHash

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a
+    temporary folder stands in, but only if driver and executors are one process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if base or held.isDefined():
+        return (base or held.get()).rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if "local" not in _FOLDER:
+        _FOLDER["local"] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return _FOLDER["local"]
+
+
+_FOLDER: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +58,36 @@ def fold(doc_id, parts: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def stretches(column: pa.Array, size: int = 1 << 20, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """Where to cut a column of texts, for stretches of about `size` bytes and at most `rows` rows; a longer text is one of its own."""
+    total = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + size, "right")) - 1))
+        yield at, stop
+        at = stop
+
+
+def mapped(docs: DataFrame, text: str, keep: Sequence[str], fields: T.StructType, work: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """The kept columns and `fields`. work() is called once in each task; what it returns makes the columns of `fields` from a list of
+    texts. Texts pass Python in stretches of bounded size, and only once, even if their column is kept. A kept column with a name that
+    `fields` has (in any case) gives way to it."""
+    taken = {f.name.lower() for f in fields}
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+    sent = [*(c for c in keep if c != text), text]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
+    names, at = schema.names, [sent.index(c) for c in keep]
+
+    def run(batches):
+        make = work()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for a, z in stretches(texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, z - a) for i in at), *make(texts.slice(a, z - a).to_pylist())], names)
+
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, schema)
+
+
 class Cache:
     """A map of two generations with at most 2 * size entries: what was used in either generation survives a turnover."""
 
