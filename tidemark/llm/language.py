@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, table
+from tidemark.llm.common import fold, mapped, table
 from tidemark.llm.samples import sample, words_of
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -124,26 +124,24 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", keep: t
     """The kept columns, lang_pred, score and rejected (boolean)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches):
+    def work():
         model = held.value
-        for batch in batches:
-            col = batch.column(batch.num_columns - 1)
-            for at in range(0, len(col), 2000):
-                texts = [t or "" for t in col.slice(at, 2000).to_pylist()]
-                und = [model is None or not LETTER.search(t) for t in texts]
-                if model is None:
-                    langs, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                else:
-                    p = model.probabilities(texts)
-                    best, score = p.argmax(1).tolist(), p.max(1).tolist()
-                    langs = ["und" if u else model.langs[b] for u, b in zip(und, best, strict=True)]
-                    score = [0.0 if u else s for u, s in zip(und, score, strict=True)]
-                    rejected = [u or s < model.threshold for u, s in zip(und, score, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 2000) for c in batch.columns[:-1]), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
-
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    names = schema.names
-    return docs.select(*keep, F.col(text)).mapInArrow(predict, schema)
+
+        def predict(texts: list) -> list[pa.Array]:
+            texts = [t or "" for t in texts]
+            und = np.array([model is None or not LETTER.search(t) for t in texts], bool)
+            if model is None:
+                langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), und
+            else:
+                p = model.probabilities(texts)
+                langs = ["und" if u else model.langs[b] for u, b in zip(und, p.argmax(1).tolist(), strict=True)]
+                score = np.where(und, 0.0, p.max(1))
+                rejected = und | (score < model.threshold)
+            return [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
+
+        return predict
+
+    return mapped(docs, text, keep, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]), work)
 
 
 def model_of(docs: DataFrame, bound: int = 3000) -> Model | None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import mapped, table, written
 from tidemark.llm.components import Forest, components
 
 
@@ -44,14 +44,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 4, seed: int = 42) -> DataFrame:
     """The kept columns and fp (long)."""
 
-    def hashed(batches):
-        for batch in batches:
-            fp = [fingerprint(t, words, seed) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.int64())], names)
-
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
-    names = schema.names
-    return docs.select(*keep, F.col(text)).mapInArrow(hashed, schema)
+    return mapped(docs, text, keep, T.StructType([T.StructField("fp", T.LongType())]), lambda: lambda texts: [pa.array([fingerprint(t, words, seed) for t in texts], pa.int64())])
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
@@ -88,7 +81,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 5
     return fps[child].view("<i8"), fps[parent].view("<i8")
 
 
-def links(distinct: DataFrame, radius: int = 4, tile: int = 16_384) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, tile: int = 16_384, pairs_per_task: int = 8) -> DataFrame:
     """u, v: a forest of the links between distinct fingerprints (column fp) that differ in at most `radius` bits.
 
     A tile holds up to `tile` fingerprints of one bit count, so a pair of tiles is at most 16 * tile bytes in a task.
@@ -130,7 +123,8 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 16_384) -> DataFrame
     pairs = left.join(heads.withColumnRenamed("tile", "b").withColumn("same", F.col("ones")), "ones").filter(apart <= radius)
     # among tiles of one bit count, each pair once; the explosion by differences 0 .. radius has the other pairs once already
     ones_of = heads.select(F.col("tile").alias("a"), F.col("ones").alias("a_ones"))
-    pairs = pairs.join(ones_of, "a").filter("a_ones <> same or a <= b").select("a", "b")
+    pairs = written(pairs.join(ones_of, "a").filter("a_ones <> same or a <= b").select("a", "b"), "pairs")
+    tasks = max(1, -(-pairs.count() // pairs_per_task))  # pairs are few bytes but much work: their number deals them, not their size
     both = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
 
     def compare(batches):
@@ -140,7 +134,7 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 16_384) -> DataFrame
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return both.select("a", "b", "fa", "fb").repartition("a", "b").mapInArrow(compare, "u long, v long")
+    return both.select("a", "b", "fa", "fb").repartition(tasks, "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def _classes(fps: DataFrame, radius: int) -> DataFrame:
@@ -162,16 +156,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 4, seed: i
 def kept(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """The rows of docs, one of each group: that with the smallest id (null ids come last; among rows of equal id and fingerprint, any
     one)."""
-    whole = docs.select("doc_id", F.struct("*").alias("row"), text)
-    hashed = written(fingerprints(whole, text, ("doc_id", "row"), words, seed), "hashed")
+    whole = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), F.col(text).alias("text"))
+    hashed = written(fingerprints(whole, "text", ("doc_id", "row", "text"), words, seed), "hashed")
     fps = hashed.select("doc_id", "fp")
     least = _classes(fps, radius).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("m")).select(F.col("m.first").alias("id"), F.col("m.fp").alias("own"))
     copies = fps.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
     stay = least.join(copies, least["id"].eqNullSafe(copies["doc_id"]) & (least["own"] == copies["fp"])).select("id", "own", "n")
     found = hashed.join(stay, (hashed["fp"] == stay["own"]) & hashed["doc_id"].eqNullSafe(stay["id"]))
-    single = found.filter("n = 1").select("row.*")
-    repeated = found.filter("n > 1").groupBy("fp").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(repeated)
+    single = found.filter("n = 1").select("row", "text")
+    repeated = found.filter("n > 1").groupBy("fp").agg(F.first(F.struct("row", "text")).alias("x")).select("x.row", "x.text")
+    return single.unionByName(repeated).select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

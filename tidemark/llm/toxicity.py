@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, table
+from tidemark.llm.common import fold, mapped, table
 from tidemark.llm.samples import sample, words_of
 
 SPAN, DECAY, SIZE = 8, 0.7, 29
@@ -248,18 +248,17 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple
     """The kept columns, score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches):
+    def work():
         model = held.value
-        for batch in batches:
-            col = batch.column(batch.num_columns - 1)
-            for at in range(0, len(col), 2000):
-                texts = [t or "" for t in col.slice(at, 2000).to_pylist()]
-                s = np.zeros(len(texts)) if model is None else model.scores(texts)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 2000) for c in batch.columns[:-1]), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names)
-
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    names = schema.names
-    return docs.select(*keep, F.col(text)).mapInArrow(score, schema)
+
+        def score(texts: list) -> list[pa.Array]:
+            s = np.zeros(len(texts)) if model is None else model.scores([t or "" for t in texts])
+            return [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
+
+        return score
+
+    return mapped(docs, text, keep, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]), work)
+
 
 def model_of(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model | None:
     """A model fitted on at most `bound` labelled documents: docs has doc_id and text, labels doc_id and toxic."""
