@@ -17,19 +17,23 @@ from tidemark.llm.common import fold, table, written
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Each row as one struct beside its text, so that no column's name can clash with an operator's."""
-    return docs.select(F.struct("*").alias("row"), "text")
+    """Each row's text, and its other columns as one struct, so that no column's name can clash with an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def _columns(rows: DataFrame, like: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in like.columns))
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(fold(F.col("doc_id"), 4) != 2)
     model = toxicity.model_of(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text"), labels)
-    return toxicity.scored(_rows(docs), model, keep=("row",)).filter("predicted = 0").select("row.*")
+    return _columns(toxicity.scored(_rows(docs), model, keep=("row", "text")).filter("predicted = 0"), docs)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.model_of(docs.filter(fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
-    return language.identified(_rows(docs), model, keep=("row",)).filter("not rejected").select("row.*")
+    return _columns(language.identified(_rows(docs), model, keep=("row", "text")).filter("not rejected"), docs)
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
