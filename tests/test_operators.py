@@ -29,26 +29,26 @@ def test_group_lists_keep_order_and_nulls(spark):
 
 def test_rolling_sum_over_ten_second_series(spark):
     df = frame_of(spark, [(at(0), 1), (at(10), 2), (at(20), 3)], "date_time timestamp_ntz, value long")
-    got = windows.centered_rolling_sum(df, column="value", safe_range=10).orderBy("date_time").collect()
+    got = windows.centered_rolling_sum(df, column="value", safe_range=10, partition_by=windows.WHOLE).orderBy("date_time").collect()
     assert [r["count"] for r in got] == [3, 5, 3]
 
 
 def test_forward_windows_are_short_at_the_end(spark):
     df = frame_of(spark, [(i,) for i in range(1, 6)], "v long")
-    got = windows.forward_windows(df, "v", 3, order_by="v").orderBy("v").collect()
+    got = windows.forward_windows(df, "v", 3, order_by="v", partition_by=windows.WHOLE).orderBy("v").collect()
     assert [r.v_sliding_window for r in got] == [[1, 2, 3], [2, 3, 4], [3, 4, 5], [4, 5], [5]]
-    assert windows.forward_windows(df, "v", 3, order_by="v", filter_valid_rows=True).count() == 3
+    assert windows.forward_windows(df, "v", 3, order_by="v", partition_by=windows.WHOLE, filter_valid_rows=True).count() == 3
 
 
 def test_gaps_at_the_threshold_stay_together(spark):
     df = frame_of(spark, [(at(0),), (at(5.9),), (at(12),)], "t timestamp_ntz")
-    got = windows.gap_groups(df, column="t", out_column="g", threshold=5, order_by="t").orderBy("t").collect()
+    got = windows.gap_groups(df, column="t", out_column="g", threshold=5, order_by="t", partition_by=windows.WHOLE).orderBy("t").collect()
     assert [r.g for r in got] == [0, 0, 1]
 
 
 def test_unknown_unit(spark):
     with pytest.raises(ValueError):
-        windows.time_delta(spark.range(1), column="id", out_column="d", order_by="id", time_unit="week")
+        windows.time_delta(spark.range(1), column="id", out_column="d", order_by="id", partition_by=windows.WHOLE, time_unit="week")
 
 
 def test_split_intervals_by_closed_ends(spark):
@@ -61,9 +61,9 @@ def test_split_intervals_by_closed_ends(spark):
 
 def test_windows_in_sessions(spark):
     df = frame_of(spark, [(0, at(0)), (1, at(1)), (2, at(2)), (3, at(60))], "index long, t timestamp_ntz")
-    got = windows.generate_windows(df, column="t", order_by="index", delta_thr=10, sequence_length=2)
+    got = windows.generate_windows(df, column="t", order_by="index", partition_by=windows.WHOLE, delta_thr=10, sequence_length=2)
     assert sorted(r.window for r in got.collect()) == [[0, 1], [1, 2]]
-    padded = windows.generate_windows(df, column="t", order_by="index", delta_thr=10, sequence_length=2, force_padding_with_values=True, padding_constant=-1)
+    padded = windows.generate_windows(df, column="t", order_by="index", partition_by=windows.WHOLE, delta_thr=10, sequence_length=2, force_padding_with_values=True, padding_constant=-1)
     assert [3, -1] in [r.window for r in padded.collect()]
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import running_totals
+from tidemark.operators.order import _placed, running_totals
 
 EPSILON = 1e-6
 
@@ -24,6 +24,40 @@ def quantile(c: str | Column, q: float | Sequence[float]) -> Column:
     return F.percentile(F.col(c) if isinstance(c, str) else c, list(q) if not isinstance(q, float | int) else q)
 
 
+def quantiles(df: DataFrame, values: Mapping[str, Column], points: Sequence[float], few: int = 1_000_000) -> dict[str, list[float] | None]:
+    """A-10: exact quantiles of several columns, with linear interpolation, nulls left out; None without values.
+
+    Spark's own aggregate holds all distinct values of a column in one task, so it is used only where an estimate shows at most `few` of
+    them. Beyond that, values are counted, range-partitioned and numbered by running totals, and only the rows at the wanted ranks are
+    read. Both ways give the same numbers.
+    """
+    names, points = list(values), list(points)
+    if not names:
+        return {}
+    rows = df.select(*(values[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)))
+    columns = rows.columns
+    if max(rows.agg(*(F.approx_count_distinct(c) for c in columns)).first()) <= few:
+        return dict(zip(names, rows.agg(*(F.percentile(c, points) for c in columns)).first(), strict=True))
+    per = rows.unpivot([], columns, "name", "value").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    placed = _placed(per, [F.col("name"), F.col("value")])
+    totals = placed.groupBy("name", "_part").agg(F.sum("n").alias("t"))
+    starts = totals.select("name", "_part", F.coalesce(F.sum("t").over(Window.partitionBy("name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
+    sizes = {r["name"]: r["n"] for r in totals.groupBy("name").agg(F.sum("t").alias("n")).collect()}  # one row for each column
+    wanted = sorted({(c, k) for c, n in sizes.items() for q in points for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    if not wanted:
+        return dict.fromkeys(names)
+    at = df.sparkSession.createDataFrame(wanted, "name string, rank long")  # two ranks for each point
+    last = placed.withColumn("last", F.sum("n").over(Window.partitionBy("name", "_part").orderBy("_place"))).join(F.broadcast(starts), ["name", "_part"]).select("name", "value", (F.col("last") + F.col("s")).alias("last"), "n")
+    found = {(r["name"], r["rank"]): r["value"] for r in last.join(F.broadcast(at), "name").filter("rank >= last - n and rank < last").collect()}
+
+    def between(c: str, q: float) -> float:
+        p = q * (sizes[c] - 1)
+        low, high = math.floor(p), math.ceil(p)
+        return found[c, low] if low == high else (high - p) * found[c, low] + (p - low) * found[c, high]
+
+    return {n: [between(c, q) for q in points] if c in sizes else None for n, c in zip(names, columns, strict=True)}
+
+
 def rows_per_day(df: DataFrame, timestamp_col: str) -> DataFrame:
     """A-06: day, n for each day from the first to the last, 0 where there is none."""
     per = df.filter(F.col(timestamp_col).isNotNull()).groupBy(F.to_date(timestamp_col).alias("day")).agg(F.count("*").alias("n"))
@@ -34,8 +68,6 @@ def rows_per_day(df: DataFrame, timestamp_col: str) -> DataFrame:
 def sampling_interval(df: DataFrame, timestamp_col: str, order_by: str, max_rows: int = 2000) -> DataFrame:
     """A-07, Q-23: seconds: the most frequent gap, to a tenth of a second, among the first max_rows rows by order_by; ties go to the one
     seen first in time order. No row if there is no gap."""
-    from pyspark.sql import Window
-
     some = df.filter(F.col(timestamp_col).isNotNull()).orderBy(order_by).limit(max_rows)
     w = Window.partitionBy(F.lit(0)).orderBy(timestamp_col)  # max_rows rows at most
     us = F.unix_micros(F.col(timestamp_col).cast("timestamp"))
@@ -60,44 +92,33 @@ def ks_and_wasserstein(df: DataFrame, value: str, is_reference: str) -> DataFram
     left out. Null without rows on both sides."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(F.col(value).cast("double").alias("x"), F.when(F.col(is_reference), 1).otherwise(0).alias("a"), F.when(F.col(is_reference), 0).otherwise(1).alias("b"))
     n = rows.agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_test"))
-    steps = running_totals(rows, "x", {"ca": "a", "cb": "b"})
-    nxt = _next_value(steps, "x")
-    both = nxt.crossJoin(F.broadcast(n))  # one row of totals
+    steps = running_totals(rows, "x", {"ca": "a", "cb": "b"}, following="next")
+    both = steps.crossJoin(F.broadcast(n))  # one row of totals
     gap = F.abs(F.col("ca") / F.col("n_ref") - F.col("cb") / F.col("n_test"))
     return both.filter("n_ref > 0 and n_test > 0").agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next") - F.col("x"))).alias("wasserstein"), F.first("n_ref").alias("n_ref"), F.first("n_test").alias("n_test"))
 
 
-def _next_value(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Each row with the column's next value, as next, over partitions dealt by range: the first value of the next one that has any
-    follows the last."""
-    from pyspark.sql import Window
-
-    key = F.desc(column) if descending else F.asc(column)
-    placed = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    heads = placed.groupBy("_part").agg((F.max if descending else F.min)(column).alias("_head"))
-    after = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_after"))
-    own = placed.withColumn("_own", F.lead(column).over(Window.partitionBy("_part").orderBy(key)))
-    return own.join(F.broadcast(after), "_part").withColumn("next", F.coalesce("_own", "_after")).drop("_part", "_own", "_after")
-
-
 def ks_p_value(d: float, n: int, m: int) -> float:
-    """The two-sided p-value of a two-sample statistic: exact by counting lattice paths where n * m <= 10,000, else by the limit law."""
+    """The two-sided p-value of a two-sample statistic: exact by counting lattice paths where both samples have at most 10,000 values, else
+    by the limit law."""
     if not n or not m or math.isnan(d):
         return float("nan")
-    if n * m <= 10_000:
+    if max(n, m) <= 10_000:
         bound = round(d * n * m) - 0.5
-        ways = np.zeros(m + 1)  # shares of paths that stay inside, row by row, scaled to probabilities
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if abs(i * m - j * n) > bound:
-                    ways[j] = 0.0
-                elif i == j == 0:
-                    ways[j] = 1.0
-                else:
-                    up = ways[j] * i / (i + j) if i else 0.0
-                    left = ways[j - 1] * j / (i + j) if j else 0.0
-                    ways[j] = up + left
-        return float(min(1.0, max(0.0, 1.0 - ways[m])))
+        j = np.arange(m + 1)
+        before = np.zeros(0)  # of each diagonal i + j, the shares of paths that stay inside, by j
+        for s in range(n + m + 1):
+            low, high = max(0, s - n), min(m, s)
+            js = j[low : high + 1]
+            here = np.zeros(m + 1)
+            if s == 0:
+                here[0] = 1.0
+            else:
+                here[js] = before[js] * (s - js) / s  # the last step came from the first sample
+                here[js[js > 0]] += before[js[js > 0] - 1] * js[js > 0] / s
+            here[js[np.abs((s - js) * m - js * n) > bound]] = 0.0
+            before = here
+        return float(min(1.0, max(0.0, 1.0 - before[m])))
     x = d * math.sqrt(n * m / (n + m))
     if x < 0.2:
         return 1.0
@@ -114,7 +135,8 @@ def psi(df: DataFrame, value: str, is_reference: str, n_bins: int, eps: float =
     edge, as the outer edges are widened to hold both samples."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(F.col(value).cast("double").alias("x"), F.col(is_reference).alias("r"))
     points = [i / n_bins for i in range(n_bins + 1)]
-    facts = rows.agg(F.array_distinct(F.percentile(F.when(F.col("r"), F.col("x")), points)).alias("e"), F.count_if("r").alias("n"), F.count_if(~F.col("r")).alias("m"))
+    edges = sorted(set(quantiles(rows.filter("r"), {"x": F.col("x")}, points)["x"] or []))
+    facts = rows.agg(F.count_if("r").alias("n"), F.count_if(~F.col("r")).alias("m")).withColumn("e", F.lit(edges).cast("array<double>"))
     inner = F.slice("e", 2, F.greatest(F.lit(0), F.size("e") - 2))
     bin_of = F.aggregate(inner, F.lit(0), lambda a, b: a + F.when(F.col("x") >= b, 1).otherwise(0))
     counted = rows.crossJoin(F.broadcast(facts)).groupBy(bin_of.alias("bin")).agg(F.count_if("r").alias("cr"), F.count_if(~F.col("r")).alias("cc"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("e").alias("e"))
@@ -132,8 +154,6 @@ def _finite(df: DataFrame, group: str, value: str, is_reference: str) -> DataFra
 
 def ks_by_group(df: DataFrame, group: str, value: str, is_reference: str) -> DataFrame:
     """T-06: group, ks: as ks_and_wasserstein, for many groups of few rows at once (a window for each group)."""
-    from pyspark.sql import Window
-
     per = _finite(df, group, value, is_reference).groupBy("g", "x").agg(F.count_if("r").alias("a"), F.count_if(~F.col("r")).alias("b"))
     w, whole = Window.partitionBy("g").orderBy("x"), Window.partitionBy("g")
     steps = per.select("g", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("n"), F.sum("b").over(whole).alias("m"))

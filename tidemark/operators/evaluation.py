@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import _next_value, ks_and_wasserstein, ks_p_value
+from tidemark.functions.stats import ks_and_wasserstein, ks_p_value, quantiles
 from tidemark.operators.order import running_totals
 
 
@@ -23,17 +23,17 @@ def confusion(df: DataFrame, score: str, truth: str, threshold: float) -> DataFr
     return n.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def _steps(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """Of each distinct score: tp and fp of a threshold just under it."""
+def _steps(df: DataFrame, score: str, truth: str, following: str | None = None) -> DataFrame:
+    """Of each distinct score: tp and fp of a threshold just under it, and the next score."""
     rows = df.select(F.col(score).cast("double").alias("score"), F.col(truth).cast("int").alias("t"), (1 - F.col(truth).cast("int")).alias("f"))
-    return running_totals(rows, "score", {"tp": "t", "fp": "f"}, descending=True)
+    return running_totals(rows, "score", {"tp": "t", "fp": "f"}, descending=True, following=following)
 
 
 def threshold_selector(df: DataFrame, score: str, truth: str) -> DataFrame:
     """A-20, E-07: threshold, f1: of the cuts between distinct scores the one with the greatest F1 (ties: the highest), in the middle
     between its score and the next one. No row with fewer than two distinct scores."""
     total = df.agg(F.sum(F.col(truth).cast("long")).alias("pos"))
-    cuts = _next_value(_steps(df, score, truth), "score", descending=True).filter("next is not null").crossJoin(F.broadcast(total))  # one row
+    cuts = _steps(df, score, truth, "next").filter("next is not null").crossJoin(F.broadcast(total))  # one row
     f1 = F.when(F.col("tp") + F.col("fp") + F.col("pos") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos"))).otherwise(0.0)
     best = cuts.select(((F.col("score") + F.col("next")) / 2).alias("threshold"), f1.alias("f1"), "score")
     return best.orderBy(F.desc("f1"), F.desc("score")).limit(1).select("threshold", "f1")
@@ -144,8 +144,8 @@ def sweep(train: DataFrame, normal: DataFrame, score: str, *, alpha: float, q_mi
     driver; all false alarm rates take one pass."""
     s = F.col(score).cast("double")
     rows = train.select(s.alias("s")).filter("s is not null and not isnan(s)")
-    n, us = rows.agg(F.count("*"), F.percentile("s", np.linspace(q_min, q_max, n_q).tolist())).first()
-    if not n:
+    n, us = rows.count(), quantiles(rows, {"s": F.col("s")}, np.linspace(q_min, q_max, n_q).tolist())["s"]
+    if not us:
         return []
     top = np.array([r[0] for r in rows.filter(F.col("s") > us[0]).collect()], np.float64)
     fits = []

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.frame import columns_of
 from tidemark.operators.windows import micros
 
-#: Intervals are broadcast up to this number of rows; beyond it they meet points by time bucket.
-BROADCAST_ROWS = 100_000
+#: Intervals are broadcast up to this number of rows, which is also how many comparisons a point can cost; beyond it they meet points by
+#: time bucket.
+BROADCAST_ROWS = 1000
 
 
 def _within(t: Column, start: Column, end: Column, closed: str) -> Column:
@@ -18,25 +19,32 @@ def _within(t: Column, start: Column, end: Column, closed: str) -> Column:
     return lower & upper
 
 
-def range_join(points: DataFrame, intervals: DataFrame, *, time: str, start: str, end: str, closed: str = "both", how: str = "inner", bucket_seconds: int = 3600, rows: int | None = None) -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, *, time: str, start: str, end: str, closed: str = "both", how: str = "inner", bucket_seconds: int | None = None, rows: int | None = None) -> DataFrame:
     """J-03's join: each point with each interval that holds it. A few intervals (counted, unless rows says how many there are) are
-    broadcast; many are cut at bucket edges, so that the join is an equality on buckets with the range as a further condition."""
+    broadcast; many are cut at bucket edges, so that the join is an equality on buckets with the range as a further condition. A bucket is
+    twice as long as the mean interval, unless bucket_seconds is given, so an interval is in one or two of them as a rule."""
     n = rows if rows is not None else intervals.limit(BROADCAST_ROWS + 1).count()
     cond = _within(F.col(time), F.col(start), F.col(end), closed)
     if n <= BROADCAST_ROWS:
         return points.join(F.broadcast(intervals), cond, how)
-    size = bucket_seconds * 1_000_000
+    size = bucket_seconds * 1_000_000 if bucket_seconds else _bucket(intervals, start, end)
     bucket = lambda c: F.floor(micros(c) / size)
     cut = intervals.filter(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
     return points.withColumn("_a", bucket(F.col(time))).join(cut, (F.col("_a") == F.col("_b")) & cond, how).drop("_a", "_b")
 
 
+def _bucket(intervals: DataFrame, start: str, end: str) -> int:
+    """Microseconds of a bucket."""
+    mean = intervals.filter(F.col(start) <= F.col(end)).agg(F.avg(micros(end) - micros(start))).first()[0]
+    return max(60_000_000, int(2 * (mean or 0)))
+
+
 def filter_incidents(df: DataFrame, incidents: DataFrame | None, *, datetime_column: str, logs_column: str, event_start_column: str = "event_start", event_end_column: str = "event_end", incident_buffer: int | None = None, mode: str = "outside", order_by=()) -> DataFrame:
     """J-02, Q-01: log rows with regard to incidents, widened by a buffer in seconds at both ends.
 
     mode outside: rows in no incident, start and end included. mode compat: rows with dt <= start and dt < end for some incident, as
-    the rule has been coded elsewhere. Of rows equal in time and text one is kept, the first by order_by. Without incidents all rows are
-    returned.
+    the rule has been coded elsewhere. Of rows equal in time and text one is kept, the first by order_by (without it, by a hash of the
+    whole row). Without incidents all rows are returned.
     """
     if incidents is None:
         return df
@@ -49,17 +57,22 @@ def filter_incidents(df: DataFrame, incidents: DataFrame | None, *, datetime_col
         kept = _outside(df, inc, datetime_column)
     else:
         raise ValueError(f"unknown mode: {mode}")
-    w = Window.partitionBy(datetime_column, logs_column).orderBy(*(columns_of(order_by) or [F.col(datetime_column)]))
+    w = Window.partitionBy(datetime_column, logs_column).orderBy(*(columns_of(order_by) or [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))]))
     return kept.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def _outside(df: DataFrame, inc: DataFrame, time: str) -> DataFrame:
-    n = inc.limit(BROADCAST_ROWS + 1).count()
+def _outside(df: DataFrame, inc: DataFrame, time: str, rows: int | None = None) -> DataFrame:
+    n = rows if rows is not None else inc.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         return df.join(F.broadcast(inc), F.col(time).between(F.col("_s"), F.col("_e")), "left_anti")
-    size = 3600 * 1_000_000
-    cut = inc.filter("_s <= _e").withColumn("_b", F.explode(F.sequence(F.floor(micros("_s") / size), F.floor(micros("_e") / size))))
-    return df.withColumn("_a", F.floor(micros(time) / size)).join(cut, (F.col("_a") == F.col("_b")) & F.col(time).between(F.col("_s"), F.col("_e")), "left_anti").drop("_a")
+    size = _bucket(inc, "_s", "_e")
+    # cut at bucket edges, and merged within each bucket: a point then meets few disjoint stretches, however much incidents overlap
+    cut = inc.filter("_s <= _e").select(micros("_s").alias("s"), micros("_e").alias("e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor(F.col("e") / size))))
+    cut = cut.select("_b", F.greatest("s", F.col("_b") * size).alias("s"), F.least("e", (F.col("_b") + 1) * size - 1).alias("e"))
+    w = Window.partitionBy("_b").orderBy("s", "e")
+    new = F.when(F.col("s") <= F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    merged = cut.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy("_b", "_i").agg(F.min("s").alias("_s"), F.max("e").alias("_e"))
+    return df.withColumns({"_t": micros(time), "_a": F.floor(micros(time) / size)}).join(merged, (F.col("_a") == F.col("_b")) & F.col("_t").between(F.col("_s"), F.col("_e")), "left_anti").drop("_t", "_a")
 
 
 def interval_precision(df: DataFrame, intervals: DataFrame, *, time: str, start: str, end: str, score: str | None = None, threshold: float = 0.0, closed: str = "both") -> DataFrame:
@@ -106,10 +119,14 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def pairwise_cosine(df: DataFrame, *, key: str, vector: str, limit: int = 20_000) -> DataFrame:
-    """J-09: left, right, distance (1 - cosine) for all pairs of a table of template vectors, whose size is checked."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"all pairs of more than {limit} vectors are not asked for; use a near-duplicate search")
-    a = df.select(F.col(key).alias("left"), F.col(vector).alias("_a"))
-    b = df.select(F.col(key).alias("right"), F.col(vector).alias("_b"))
-    return a.join(b, F.col("left") < F.col("right")).select("left", "right", (1 - cosine("_a", "_b")).alias("distance"))
+def pairwise_cosine(df: DataFrame, *, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """J-09: left, right, distance (1 - cosine) for all pairs of a table of vectors, whatever its size: rows are dealt to blocks of about
+    `block`, and each pair of blocks meets once, by equality. All pairs are what is asked for; near ones alone are a search's work."""
+    blocks = max(1, -(-df.count() // block))
+    dealt = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    rows = dealt.withColumn("o", other).select("k", "v", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    a = rows.select(F.col("k").alias("left"), F.col("v").alias("_a"), F.col("b").alias("_ba"), "x", "y")
+    b = rows.select(F.col("k").alias("right"), F.col("v").alias("_b"), F.col("b").alias("_bb"), "x", "y")
+    met = (F.col("left") < F.col("right")) & ((F.col("_ba") != F.col("_bb")) | (F.col("x") == F.col("y")))
+    return a.join(b, ["x", "y"]).filter(met).select("left", "right", (1 - cosine("_a", "_b")).alias("distance"))

@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.frame import columns_of
+from tidemark.sources.shared import written
 
 
 def with_row_index(df: DataFrame, order_by, name: str = "index", offset: int = 0, partition_by=()) -> DataFrame:
     """F-06: a 0-based position in the order of order_by, whole or within partition_by.
 
-    A position in the whole frame needs no single task: rows are range-partitioned, counted for each partition, and a running sum of
-    the (few) counts is joined back.
+    A position in the whole frame needs no single task: rows are range-partitioned and sorted, and written once, so that every later step
+    sees the same partitions; they are counted for each partition, and a running sum of the (few) counts is joined back.
     """
     keys = columns_of(order_by)
     if partition_by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*columns_of(partition_by)).orderBy(*keys)) - 1 + F.lit(offset).cast("long"))
-    placed = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    placed = _placed(df, keys)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_place") - 1 + offset).cast("long")).drop("_part", "_place", "_start")
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(_BEFORE()), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_place") + offset).cast("long")).drop("_part", "_place", "_start")
+
+
+def _placed(df: DataFrame, keys) -> DataFrame:
+    """Rows in the order of keys, with their partition (_part) and place in it (_place), as a written table: a range exchange samples
+    its input, and two of them need not agree on where a partition ends."""
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
+    return written(rows, "placed").withColumns({"_part": F.shiftright("_row", 33), "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row")
+
+
+def _BEFORE() -> Window:
+    """The rows before one, among one row for each partition."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def gather(df: DataFrame, positions: DataFrame, index: str = "index", position: str = "position") -> DataFrame:
@@ -70,18 +82,24 @@ def chronological_split(df: DataFrame, order_by: str, cuts: dict[str, float], ou
     return df.withColumn(out, case.otherwise("rest"))
 
 
-def running_totals(df: DataFrame, order_by: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """W-13: of distinct values of order_by, the totals of columns over all values up to each one, as the names in sums.
+def running_totals(df: DataFrame, order_by: str, sums: dict[str, str], descending: bool = False, following: str | None = None) -> DataFrame:
+    """W-13: of distinct values of order_by, the totals of columns over all values up to each one, as the names in sums; following: the
+    name of a column with the next value.
 
     Values are aggregated first and range-partitioned; each partition sums up its own and adds the total of those before it, which is
     one row for each partition.
     """
     per = df.groupBy(order_by).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    key = F.desc(order_by) if descending else F.asc(order_by)
-    placed = per.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(key)
-    local = placed.withColumns({f"_{n}": F.sum(n).over(w) for n in sums})
-    totals = placed.groupBy("_part").agg(*(F.sum(n).alias(n) for n in sums))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_s_{n}") for n in sums))
-    return local.join(F.broadcast(starts), "_part").select(order_by, *((F.col(f"_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums))
+    placed = _placed(per, [F.desc(order_by) if descending else F.asc(order_by)])
+    w = Window.partitionBy("_part").orderBy("_place")
+    local = placed.withColumns({f"_{n}": F.sum(n).over(w) for n in sums} | ({"_own": F.lead(order_by).over(w)} if following else {}))
+    heads = placed.groupBy("_part").agg(*(F.sum(n).alias(n) for n in sums), F.min_by(order_by, "_place").alias("_head"))
+    starts = heads.select("_part", *(F.coalesce(F.sum(n).over(_BEFORE()), F.lit(0)).alias(f"_s_{n}") for n in sums), F.lead("_head").over(Window.orderBy("_part")).alias("_after"))
+    out = local.join(F.broadcast(starts), "_part")
+    more = [F.coalesce("_own", "_after").alias(following)] if following else []
+    return out.select(order_by, *((F.col(f"_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums), *more)
+
+
+def list_distinct(df: DataFrame, column: str) -> DataFrame:
+    """O-07: each array without repeated elements, in the order in which they first come."""
+    return df.withColumn(column, F.array_distinct(column))

@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import quantiles
+
 EPSILON = 1e-6
 KINDS = ("StandardScaler", "RobustScaler", "custom", "MinMaxScaler")
 
@@ -34,7 +36,7 @@ class Scaler:
         return F.asinh(x) if self.kind == "custom" else x
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> Scaler:
-        """One job for all columns; columns that are not there are left out."""
+        """All columns at once; columns that are not there are left out."""
         columns = [c for c in columns if c in df.columns]
         lo, hi = (q / 100 for q in self.quantile_range)
         aggs = []
@@ -44,9 +46,8 @@ class Scaler:
                 aggs += [F.avg(x).alias(f"{c}|a"), F.stddev_pop(x).alias(f"{c}|b")]
             elif self.kind == "MinMaxScaler":
                 aggs += [F.min(x).alias(f"{c}|a"), F.max(x).alias(f"{c}|b")]
-            else:
-                aggs.append(F.percentile(x, [0.5, lo, hi, 0.25, 0.75]).alias(f"{c}|q"))
         row = df.agg(*aggs).first().asDict() if aggs else {}
+        at = quantiles(df, {c: self._value(c) for c in columns}, [0.5, lo, hi, 0.25, 0.75]) if self.kind in ("RobustScaler", "custom") else {}
         for c in columns:
             if self.kind == "StandardScaler":
                 centre, scale, constant = row[f"{c}|a"], row[f"{c}|b"], False
@@ -54,7 +55,7 @@ class Scaler:
                 a, b = row[f"{c}|a"], row[f"{c}|b"]
                 centre, scale, constant = a, None if a is None else b - a, False
             else:
-                q = row[f"{c}|q"] or [None] * 5
+                q = at[c] or [None] * 5
                 centre, scale = q[0], None if q[0] is None else q[2] - q[1]
                 constant = self.kind == "custom" and (q[0] is None or q[4] - q[3] < self.iqr_epsilon)
             self.params[c] = {"centre": centre if centre is not None else 0.0, "scale": scale or 1.0, "constant": constant}

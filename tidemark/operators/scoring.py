@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.stats import quantiles
+from tidemark.sources.shared import read_bytes, write_bytes
+
 SHIFT = 1e-8
 
 
@@ -98,32 +103,32 @@ def mean_of_batch_quantiles(df: DataFrame, *, batch: str, score: str, q: float =
 
 def sampling_weights(df: DataFrame, score: str, q: float = 0.999, out: str = "weight") -> DataFrame:
     """M-20: the score itself, 0 over its quantile."""
-    cut = df.agg(F.percentile(score, q).alias("_q"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(out, F.when(F.col(score) > F.col("_q"), 0.0).otherwise(F.col(score).cast("double"))).drop("_q")  # one row
+    cut = (quantiles(df, {"s": F.col(score)}, [q])["s"] or [None])[0]
+    return df.withColumn(out, F.when(F.col(score) > F.lit(cut).cast("double"), 0.0).otherwise(F.col(score).cast("double")))
 
 
 def weighted_sample(df: DataFrame, weight: str, expected: int, seed: int = 0) -> DataFrame:
     """M-20: rows drawn with replacement in proportion to their weight: each row a Poisson number of times, `expected` rows in the mean."""
     total = df.agg(F.sum(weight).alias("_t"))
     rate = F.col(weight) * expected / F.col("_t")
-    u = F.rand(seed)
-    # the number of draws is how often the running Poisson probability stays under a uniform number
-    times = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k")), lambda a, i: F.struct((a["p"] * F.col("_rate") / i).alias("p"), (a["c"] + a["p"] * F.col("_rate") / i).alias("c"), (a["k"] + F.when(F.col("_u") > a["c"], 1).otherwise(0)).alias("k")))["k"]
-    rows = df.crossJoin(F.broadcast(total)).withColumns({"_u": u, "_rate": rate}).withColumn("_k", times)
-    return rows.filter("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_t", "_u", "_rate", "_k", "_i")
+    # a Poisson number is a sum of Poisson numbers of parts of its rate: parts of at most 8, whose number of draws is how often the running
+    # probability stays under a uniform number (beyond 64 draws it is under 1e-30)
+    parts = df.crossJoin(F.broadcast(total)).withColumn("_rate", rate).filter("_rate > 0").withColumn("_n", F.ceil(F.col("_rate") / 8).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    parts = parts.withColumn("_rate", F.col("_rate") / F.col("_n")).withColumn("_u", F.rand(seed))
+    first = F.exp(-F.col("_rate"))
+    times = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("k")), lambda a, i: F.struct((a["p"] * F.col("_rate") / i).alias("p"), (a["c"] + a["p"] * F.col("_rate") / i).alias("c"), (a["k"] + F.when(F.col("_u") > a["c"], 1).otherwise(0)).alias("k")))["k"]
+    return parts.withColumn("_k", times).filter("_k > 0").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_t", "_u", "_rate", "_n", "_k", "_i", "_j")
 
 
 def softmax_masking(df: DataFrame, score: str, threshold: float = 0.96, mode: str = "hard", seed: int = 0, out: str = "masked") -> DataFrame:
     """M-19: marks rows over the score's quantile (hard); semi and soft draw as many in the mean among rows over the 0.94 or 0.9
     quantile."""
     low = {"hard": threshold, "semi": 0.94, "soft": 0.9}[mode]
-    cut = df.agg(F.percentile(score, [threshold, low]).alias("_q"))
-    rows = df.crossJoin(F.broadcast(cut))  # one row
+    high, low = (F.lit(q).cast("double") for q in quantiles(df, {"s": F.col(score)}, [threshold, low])["s"] or [None, None])
     if mode == "hard":
-        return rows.withColumn(out, F.col(score) > F.col("_q")[0]).drop("_q")
-    n = rows.agg(F.count_if(F.col(score) > F.col("_q")[0]).alias("_h"), F.count_if(F.col(score) > F.col("_q")[1]).alias("_c"))
-    rows = rows.crossJoin(F.broadcast(n))
-    return rows.withColumn(out, (F.col(score) > F.col("_q")[1]) & (F.rand(seed) < F.col("_h") / F.greatest(F.col("_c"), F.lit(1)))).drop("_q", "_h", "_c")
+        return df.withColumn(out, F.col(score) > high)
+    n = df.agg(F.count_if(F.col(score) > high), F.count_if(F.col(score) > low)).first()
+    return df.withColumn(out, (F.col(score) > low) & (F.rand(seed) < n[0] / max(1, n[1])))
 
 
 def distance_stats(pairs: DataFrame, distance: str = "distance", tiny: float = 1e-4) -> DataFrame:
@@ -185,9 +190,14 @@ class LSTMAutoEncoder:
 
     @classmethod
     def load(cls, path: str) -> LSTMAutoEncoder:
-        with np.load(path) as f:
+        with np.load(io.BytesIO(read_bytes(path))) as f:
             return cls(dict(f))
 
+    def save(self, path: str) -> None:
+        out = io.BytesIO()
+        np.savez(out, **self.weights)
+        write_bytes(out.getvalue(), path)
+
     @classmethod
     def random(cls, features: int, hidden: int, layers: int = 1, seed: int = 0) -> LSTMAutoEncoder:
         """Widths hidden * 4 ** (layers - 1 - k) in the encoder, mirrored in the decoder; hidden has to be a power of two."""
@@ -206,6 +216,50 @@ class LSTMAutoEncoder:
         return cls(out)
 
 
+class MetricLSTM(LSTMAutoEncoder):
+    """M-13: a bidirectional auto-encoder of metrics whose last features are times. They go through two dense layers (time.0.*, time.1.*)
+    with rectifiers and stand beside the metrics; metrics alone are reconstructed, so a reconstruction is narrower than its window."""
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        w, x = self.weights, np.asarray(x, np.float64)
+        n = x.shape[2] - w["time.0.weight"].shape[1]
+        t = x[:, :, n:]
+        for k in (0, 1):
+            t = np.maximum(0, t @ w[f"time.{k}.weight"].T + w[f"time.{k}.bias"])
+        z = self._stack(np.concatenate([x[:, :, :n], t], 2), "encoder")
+        return self._stack(z, "decoder") @ w["head.weight"].T + w["head.bias"]
+
+    @classmethod
+    def random(cls, features: int, hidden: int, layers: int = 1, seed: int = 0, times: int = 6, width: int = 4) -> MetricLSTM:
+        """features: metrics and times together."""
+        rng = np.random.default_rng(seed)
+        r, out, metrics = 1 / np.sqrt(hidden), {}, features - times
+        for part, first in (("encoder", metrics + width), ("decoder", 2 * hidden)):
+            for k in range(layers):
+                for way in ("", "_reverse"):
+                    size = first if k == 0 else 2 * hidden
+                    shapes = {"weight_ih": (4 * hidden, size), "weight_hh": (4 * hidden, hidden), "bias_ih": 4 * hidden, "bias_hh": 4 * hidden}
+                    out |= {f"{part}.{k}.{n}{way}": rng.uniform(-r, r, s) for n, s in shapes.items()}
+        for k, (a, b) in enumerate(((times, 2 * width), (2 * width, width))):
+            out |= {f"time.{k}.weight": rng.uniform(-0.4, 0.4, (b, a)), f"time.{k}.bias": np.zeros(b)}
+        return cls(out | {"head.weight": rng.uniform(-r, r, (metrics, 2 * hidden)), "head.bias": np.zeros(metrics)})
+
+
+def divergence(mean: np.ndarray, log_var: np.ndarray) -> np.ndarray:
+    """M-14: of each row, the Kullback-Leibler divergence of its normal from the standard one."""
+    return -0.5 * (1 + log_var - mean**2 - np.exp(log_var)).sum(tuple(range(1, mean.ndim)))
+
+
+def drawn(mean: np.ndarray, log_var: np.ndarray, seed: int = 0) -> np.ndarray:
+    """M-14: a latent drawn around its mean, as training does it; scoring takes the mean."""
+    return mean + np.exp(0.5 * log_var) * np.random.default_rng(seed).standard_normal(mean.shape)
+
+
+def noisy(x: np.ndarray, sigma: float, seed: int = 0) -> np.ndarray:
+    """X-12: multiplicative Gaussian noise, for training alone."""
+    return x if sigma <= 0 else x * (1 + sigma * np.random.default_rng(seed).standard_normal(x.shape))
+
+
 class MeanReconstructor:
     """Each feature's mean over the window: a baseline that needs no weights."""
 
@@ -215,26 +269,39 @@ class MeanReconstructor:
 
 def reconstructed(windows: DataFrame, model, *, window: str = "window", out: str = "reconstruction") -> DataFrame:
     """Windows (array of steps of features) with their reconstruction, in Arrow batches; windows of a batch that have one shape go through
-    the model together."""
+    the model together, as arrays cut from the batch's buffers. Windows hold numbers, no nulls, and steps of one width."""
     held = windows.sparkSession.sparkContext.broadcast(model)
-    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    at = windows.columns.index(window)
+    names = [*windows.columns, out]
 
     def run(batches):
-        for f in batches:
-            shapes: dict[int, list[int]] = {}
-            for i, w in enumerate(f[window]):
-                shapes.setdefault(len(w), []).append(i)
-            made: list = [None] * len(f)
-            for at in shapes.values():
-                x = np.array([[list(r) for r in f[window].iloc[i]] for i in at], np.float64)
-                for i, y in zip(at, held.value(x), strict=True):
-                    made[i] = y.tolist()
-            yield f.assign(**{out: made})
+        for batch in batches:
+            column = batch.column(at)
+            n = np.diff(column.offsets.to_numpy())
+            steps = column.flatten()
+            widths = np.diff(steps.offsets.to_numpy())
+            flat = steps.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if not len(n):
+                continue
+            begins = np.r_[0, np.cumsum(n)]
+            starts = np.r_[0, np.cumsum(widths)]
+            made: list = [None] * len(n)
+            for size, width in {(int(k), int(widths[b])) for k, b in zip(n, begins, strict=False) if k}:
+                own = np.array([i for i in range(len(n)) if n[i] == size and widths[begins[i]] == width])
+                x = flat[starts[begins[own]][:, None] + np.arange(size * width)].reshape(len(own), size, width)
+                for i, y in zip(own.tolist(), held.value(x), strict=True):
+                    made[i] = y
+            y_width = [0 if y is None else y.shape[1] for y in made]
+            inner = np.r_[0, np.cumsum(np.repeat(y_width, n))].astype(np.int32)
+            values = pa.array(np.concatenate([y.ravel() for y in made if y is not None] or [np.zeros(0)]))
+            rows = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.ListArray.from_arrays(pa.array(inner), values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names)
 
-    return windows.mapInPandas(run, T.StructType([*windows.schema.fields, T.StructField(out, kind)]))
+    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    return windows.mapInArrow(run, T.StructType([*windows.schema.fields, T.StructField(out, kind)]))
 
 
 def cells(windows: DataFrame, *, key: str, window: str = "window", reconstruction: str = "reconstruction") -> DataFrame:
-    """key, step, feature, target, recon: windows as cells."""
+    """key, step, feature, target, recon: windows as cells. Features beyond the reconstruction's width are inputs alone, and have none."""
     steps = windows.select(key, F.posexplode(F.arrays_zip(F.col(window).alias("t"), F.col(reconstruction).alias("r"))).alias("step", "x"))
-    return steps.select(key, "step", F.posexplode(F.arrays_zip(F.col("x.t").alias("t"), F.col("x.r").alias("r"))).alias("feature", "y")).select(key, "step", "feature", F.col("y.t").alias("target"), F.col("y.r").alias("recon"))
+    return steps.select(key, "step", F.posexplode(F.arrays_zip(F.slice("x.t", F.lit(1), F.size("x.r")).alias("t"), F.col("x.r").alias("r"))).alias("feature", "y")).select(key, "step", "feature", F.col("y.t").alias("target"), F.col("y.r").alias("recon"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import io
 import json
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
@@ -10,8 +11,10 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import prepared
+from tidemark.sources.shared import read_text, write_text
 
 WILD = "<*>"
 
@@ -32,13 +35,14 @@ class MinerConfig:
     def save(self, path: str) -> None:
         ini = configparser.ConfigParser()
         ini["MINER"] = {k: json.dumps(v).replace("%", "%%") for k, v in asdict(self).items()}
-        with open(path, "w", encoding="utf-8") as f:
-            ini.write(f)
+        out = io.StringIO()
+        ini.write(out)
+        write_text(out.getvalue(), path)
 
     @classmethod
     def load(cls, path: str) -> MinerConfig:
         ini = configparser.ConfigParser()
-        ini.read(path, encoding="utf-8")
+        ini.read_string(read_text(path))
         d = {k: json.loads(v) for k, v in ini["MINER"].items()}
         return cls(**{**d, "rules": [tuple(r) for r in d["rules"]]})
 
@@ -162,17 +166,57 @@ class TemplateMiner:
         return prepared(c, self.config.rules, self.config.slice_length, self.config.strip)
 
     def fit(self, df: DataFrame, column: str, order_by: str, distinct: str = "raw") -> TemplateMiner:
-        """L-06, Q-22: distinct messages (raw: before masking; masked: after it) are found in Spark and added on the driver in the order
-        in which they first come: a tree depends on that order. The driver gets distinct messages only."""
+        """L-06, Q-22: distinct messages (raw: before masking; masked: after it) are added in the order in which they first come, on which a
+        tree depends. Messages of another number of tokens never meet in it, so each number's part of the tree grows in a task of its
+        own; the driver gets templates alone, and numbers new ones by the order in which they came. With max_clusters a template can push
+        out one of another length: then the driver adds all distinct messages, one by one."""
         base = df.select(F.col(column).alias("message"), F.col(order_by).alias("_o")).filter("message is not null")
         if distinct == "masked":
             base = base.withColumn("message", self.masked("message"))
         first = base.groupBy("message").agg(F.min("_o").alias("_o"))
-        ordered = first.orderBy("_o", "message").select((F.col("message") if distinct == "masked" else self.masked("message")).alias("m"))
-        for row in ordered.toLocalIterator():
-            self.tree.add(row["m"])
+        rows = first.select((F.col("message") if distinct == "masked" else self.masked("message")).alias("m"), "_o", "message")
+        if self.config.max_clusters:
+            for row in rows.orderBy("_o", "message").toLocalIterator():
+                self.tree.add(row["m"])
+        else:
+            self._grow(rows)
         return self
 
+    def _grow(self, rows: DataFrame) -> None:
+        held = rows.sparkSession.sparkContext.broadcast(self.tree.to_json())
+
+        @F.pandas_udf("long")
+        def length(messages: pd.Series) -> pd.Series:
+            return messages.map(lambda m: len(m.split()))
+
+        def grown(f: pd.DataFrame) -> pd.DataFrame:
+            tree, born = TemplateTree.from_json(held.value), {}
+            for m, o, raw in f.sort_values(["_o", "message"])[["m", "_o", "message"]].itertuples(index=False):
+                known = tree._next
+                tree.add(m)
+                if tree._next > known:
+                    born[known] = o, raw
+            n = int(f["length"].iloc[0])
+            own = [t for t in tree.templates.values() if len(t.tokens) == n]
+            root = [json.dumps(tree._root[n])] + [None] * (len(own) - 1)
+            return pd.DataFrame({"length": n, "root": root, "id": [t.id for t in own], "tokens": [t.tokens for t in own], "size": [t.size for t in own], "born": [t.id in born for t in own], "o": [born.get(t.id, (None, None))[0] for t in own], "raw": [born.get(t.id, (None, None))[1] for t in own]})
+
+        schema = T.StructType().add("length", "long").add("root", "string").add("id", "long").add("tokens", T.ArrayType(T.StringType())).add("size", "long").add("born", "boolean").add("o", rows.schema["_o"].dataType).add("raw", "string")
+        found = rows.withColumn("length", length("m")).groupBy("length").applyInPandas(grown, schema).collect()  # templates
+        number = {}
+        for i, r in enumerate(sorted((r for r in found if r["born"]), key=lambda r: (r["o"] is not None, r["o"], r["raw"]))):
+            number[r["length"], r["id"]] = self.tree._next + i
+        self.tree._next += len(number)
+
+        def renamed(node: dict, n: int) -> dict:
+            return {"kids": {k: renamed(v, n) for k, v in node["kids"].items()}, "ids": [number.get((n, i), i) for i in node["ids"]]}
+
+        for r in sorted(found, key=lambda r: number.get((r["length"], r["id"]), r["id"])):
+            i = number.get((r["length"], r["id"]), r["id"])
+            self.tree.templates[i] = Template(i, list(r["tokens"]), r["size"])
+            if r["root"] is not None:
+                self.tree._root[r["length"]] = renamed(json.loads(r["root"]), r["length"])
+
     def predict(self, df: DataFrame, column: str, out: str = "template_id") -> DataFrame:
         """L-07 .. L-09, J-08: the template id of every row. Masked messages are matched in Arrow batches, each distinct one of a batch
         once; rows need no shuffle."""
@@ -204,14 +248,12 @@ class TemplateMiner:
         return spark.createDataFrame(self.templates(), "ClusterId int, Template string, Occurrences long")
 
     def save(self, path: str) -> None:
-        """L-12."""
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(self.tree.to_json())
+        """L-12: in any file system that Spark reaches."""
+        write_text(self.tree.to_json(), path)
 
     @classmethod
     def load(cls, path: str) -> TemplateMiner:
-        with open(path, encoding="utf-8") as f:
-            return cls(tree=TemplateTree.from_json(f.read()))
+        return cls(tree=TemplateTree.from_json(read_text(path)))
 
 
 _TREES: dict[str, TemplateTree] = {}
@@ -224,6 +266,24 @@ def _tree(text: str) -> TemplateTree:
     return _TREES[text]
 
 
+def messages_of(spark, x, column: str = "message") -> DataFrame:
+    """L-01: a frame, the path of a Parquet table, paths, a list or a one-dimensional array of messages, as a frame with a column of messages
+    and their place (order), where the input has one. Anything else is a TypeError."""
+    if isinstance(x, DataFrame):
+        if column not in x.columns:
+            raise TypeError(f"the frame has no column {column}")
+        return x
+    if isinstance(x, str):
+        return messages_of(spark, spark.read.parquet(x), column)
+    if hasattr(x, "tolist") and getattr(x, "ndim", 1) == 1:
+        x = x.tolist()
+    if isinstance(x, list | tuple) and x and all(isinstance(m, str) and m.endswith(".parquet") for m in x):
+        return messages_of(spark, spark.read.parquet(*x), column)
+    if isinstance(x, list | tuple) and all(m is None or isinstance(m, str) for m in x):
+        return spark.createDataFrame(list(enumerate(x)), f"order long, {column} string")
+    raise TypeError(f"no messages can be taken from {type(x).__name__}")
+
+
 def hashed_embedding(c: str | Column, size: int = 64) -> Column:
     """X-05: a deterministic encoder of texts: counts of hashed tokens, with signs, by place."""
     tokens = F.split(F.col(c) if isinstance(c, str) else c, r"\s+")

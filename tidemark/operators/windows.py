@@ -1,4 +1,5 @@
-"""Time gaps, sessions and sliding windows. All take partition_by: a whole stream in one window would go to one task."""
+"""Time gaps, sessions and sliding windows. All need partition_by: a whole stream in one window goes to one task, so that has to be asked
+for by WHOLE."""
 
 from __future__ import annotations
 
@@ -19,12 +20,27 @@ def micros(column: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+#: As partition_by: all rows in order, in one task. For frames known to be small.
+WHOLE = "*"
+
+
+def _keys(partition_by) -> list[Column]:
+    if isinstance(partition_by, str) and partition_by == WHOLE:
+        return []
+    if not isinstance(partition_by, Column) and not partition_by:
+        raise ValueError("partition_by has to name what a window may not cross; WHOLE puts all rows into one task")
+    return columns_of(partition_by)
+
+
+def _part(partition_by):
+    return Window.partitionBy(*(_keys(partition_by) or [F.lit(0)]))
+
+
 def _spec(partition_by, order_by):
-    w = Window.partitionBy(*columns_of(partition_by)) if partition_by else Window.partitionBy(F.lit(0))
-    return w.orderBy(*columns_of(order_by))
+    return _part(partition_by).orderBy(*columns_of(order_by))
 
 
-def time_delta(df: DataFrame, *, column: str, out_column: str, order_by, partition_by=(), time_unit: str = "s") -> DataFrame:
+def time_delta(df: DataFrame, *, column: str, out_column: str, order_by, partition_by, time_unit: str = "s") -> DataFrame:
     """W-01, Q-02: the gap to the row before, in whole seconds (truncated), in units of h, m, s, ms, us or ns; the first is null."""
     if time_unit not in UNITS:
         raise ValueError(f"unknown unit: {time_unit}")
@@ -34,7 +50,7 @@ def time_delta(df: DataFrame, *, column: str, out_column: str, order_by, partiti
     return df.withColumn(out_column, seconds * down / up)
 
 
-def gap_groups(df: DataFrame, *, column: str, out_column: str, threshold: float, order_by, partition_by=(), time_unit: str = "s") -> DataFrame:
+def gap_groups(df: DataFrame, *, column: str, out_column: str, threshold: float, order_by, partition_by, time_unit: str = "s") -> DataFrame:
     """W-02, Q-03, Q-04: the number of gaps over the threshold so far; a row whose gap is null is in group 0."""
     gaps = time_delta(df, column=column, out_column="_gap", order_by=order_by, partition_by=partition_by, time_unit=time_unit)
     w = _spec(partition_by, order_by).rowsBetween(Window.unboundedPreceding, 0)
@@ -42,16 +58,15 @@ def gap_groups(df: DataFrame, *, column: str, out_column: str, threshold: float,
     return gaps.withColumn(out_column, F.when(F.col("_gap").isNull(), 0).otherwise(total).cast("long")).drop("_gap")
 
 
-def centered_rolling_sum(df: DataFrame, *, column: str, safe_range: int, index_column: str = "date_time", out_column: str = "count", partition_by=(), timedelta_unit: str = "s", closed: str = "right") -> DataFrame:
+def centered_rolling_sum(df: DataFrame, *, column: str, safe_range: int, index_column: str = "date_time", out_column: str = "count", partition_by, timedelta_unit: str = "s", closed: str = "right") -> DataFrame:
     """W-03: the sum over the times within safe_range on both sides; closed names the ends that count: right, left, both or none."""
     up, down = UNITS[timedelta_unit]
     r = safe_range * up * 1_000_000 // down
     low, high = {"right": (1 - r, r), "left": (-r, r - 1), "both": (-r, r), "none": (1 - r, r - 1)}[closed]
-    base = Window.partitionBy(*columns_of(partition_by)) if partition_by else Window.partitionBy(F.lit(0))
-    return df.withColumn(out_column, F.sum(column).over(base.orderBy(micros(index_column)).rangeBetween(low, high)))
+    return df.withColumn(out_column, F.sum(column).over(_part(partition_by).orderBy(micros(index_column)).rangeBetween(low, high)))
 
 
-def forward_windows(df: DataFrame, columns: Sequence[str] | str, window_size: int, *, order_by, partition_by=(), output: Sequence[str] | None = None, filter_valid_rows: bool = False) -> DataFrame:
+def forward_windows(df: DataFrame, columns: Sequence[str] | str, window_size: int, *, order_by, partition_by, output: Sequence[str] | None = None, filter_valid_rows: bool = False) -> DataFrame:
     """W-04, W-08: the values of a row and of the window_size - 1 after it; shorter at the end, unless only full ones are kept. Nulls
     keep their places."""
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -64,22 +79,22 @@ def forward_windows(df: DataFrame, columns: Sequence[str] | str, window_size: in
     return out.withColumns({n: F.transform("_rows", field_of(f"_{i}")) for i, n in enumerate(names)}).drop("_rows")
 
 
-def last_row_windows(df: DataFrame, features: Sequence[str], window_size: int, *, timestamp: str, order_by, partition_by=()) -> DataFrame:
+def last_row_windows(df: DataFrame, features: Sequence[str], window_size: int, *, timestamp: str, order_by, partition_by) -> DataFrame:
     """W-09: full windows over an array of features, as window, with the timestamp of their last row, as window_ts. A partition with
     fewer rows gives one window padded with zeros at its end."""
     vec = F.array(*(F.col(c).cast("double") for c in features))
     w = _spec(partition_by, order_by)
-    part = Window.partitionBy(*columns_of(partition_by)) if partition_by else Window.partitionBy(F.lit(0))
+    part = _part(partition_by)
     out = df.withColumns({"_w": F.collect_list(vec).over(w.rowsBetween(0, window_size - 1)), "window_ts": F.last(timestamp).over(w.rowsBetween(0, window_size - 1)), "_n": F.count("*").over(part), "_r": F.row_number().over(w)})
     pad = F.array_repeat(F.array_repeat(F.lit(0.0), len(features)), F.greatest(F.lit(0), window_size - F.size("_w")))
     return out.filter((F.size("_w") == window_size) | ((F.col("_n") < window_size) & (F.col("_r") == 1))).withColumn("window", F.concat("_w", pad)).drop("_w", "_n", "_r")
 
 
-def generate_windows(df: DataFrame, *, column: str, order_by, partition_by=(), delta_thr: float = 10, sequence_length: int = 2, index: str = "index", force_padding_with_values: bool = False, padding_constant: int = 0) -> DataFrame:
+def generate_windows(df: DataFrame, *, column: str, order_by, partition_by, delta_thr: float = 10, sequence_length: int = 2, index: str = "index", force_padding_with_values: bool = False, padding_constant: int = 0) -> DataFrame:
     """W-05, Q-07, Q-10: windows of row positions (column index) within sessions by gaps. Sessions shorter than a window are left out,
     or give one window padded with the constant. Rows: session, first position, window."""
     grouped = gap_groups(df, column=column, out_column="_session", threshold=delta_thr, order_by=order_by, partition_by=partition_by)
-    keys = [*columns_of(partition_by), F.col("_session")]
+    keys = [*_keys(partition_by), F.col("_session")]
     w = Window.partitionBy(*keys).orderBy(*columns_of(order_by))
     rows = grouped.withColumns({"window": F.collect_list(index).over(w.rowsBetween(0, sequence_length - 1)), "_n": F.count("*").over(Window.partitionBy(*keys)), "_r": F.row_number().over(w)})
     full = F.size("window") == sequence_length
@@ -88,7 +103,7 @@ def generate_windows(df: DataFrame, *, column: str, order_by, partition_by=(), d
         rows = rows.filter(full | short).withColumn("window", F.concat("window", F.array_repeat(F.lit(padding_constant).cast("long"), F.greatest(F.lit(0), sequence_length - F.size("window")))))
     else:
         rows = rows.filter(full)
-    return rows.select(*columns_of(partition_by), F.col("_session").alias("session"), F.col(index).alias("first_position"), "window")
+    return rows.select(*_keys(partition_by), F.col("_session").alias("session"), F.col(index).alias("first_position"), "window")
 
 
 def array_windows(column: str | Column, window_size: int, force_padding_with_values: bool = False, padding_constant: float = 0.0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import daypart_medians, ks_by_group, ks_p_value, psi_by_group, rows_per_day, sampling_interval, zero_rate
 from tidemark.operators.frame import feature_group, split_by_dates
 from tidemark.operators.scaling import Scaler
+from tidemark.sources.shared import write_text
 
 # Fixed values (T-10): thresholds by name, modes, classes and their colours.
 THRESHOLDS = {
@@ -43,41 +45,56 @@ def zero_rates(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     return {c: math.nan if row[c] is None else row[c] for c in features}
 
 
+# Fixed values (T-02): names and order of the gates in reports, with how each gets its value, when it fails, and as what.
+_GATES = (
+    ("ref_rows", "ref_rows", None, None),
+    ("test_rows", "test_rows", None, None),
+    ("ref_mean_rows_per_day", "round(ref_mean, 1)", None, None),
+    ("test_mean_rows_per_day", "round(test_mean, 1)", None, None),
+    ("row_count_drop_pct", "round(100 * (1 - test_mean / ref_mean), 2)", "100 * (1 - test_mean / ref_mean) > {tier0_row_count_drop_pct}", "fail"),
+    ("sampling_interval_sec_ref", "ref_gap", None, None),
+    ("sampling_interval_sec_test", "test_gap", "abs(ref_gap - test_gap) > 1", "warn"),
+    ("test_days_below_min_rows", "test_low", "test_low > 0", "warn"),
+)
+
+
+def _facts(df: DataFrame, side: str, timestamp_col: str, order_by: str, thresholds: Mapping) -> DataFrame:
+    """One row: what the gates ask of a side."""
+    low = F.count_if(F.col("n") < thresholds["tier0_min_rows_per_day"])
+    days = rows_per_day(df, timestamp_col).agg(F.avg("n").alias(f"{side}_mean"), low.cast("double").alias(f"{side}_low"))
+    gap = sampling_interval(df, timestamp_col, order_by).agg(F.max("seconds").alias(f"{side}_gap"))
+    return days.crossJoin(gap).crossJoin(df.agg(F.count("*").cast("double").alias(f"{side}_rows")))  # one row each
+
+
 def tier0(ref: DataFrame, test: DataFrame, features: Sequence[str], groups: Sequence[str], metrics: Sequence[str], timestamp_col: str, order_by: str, thresholds: Mapping = THRESHOLDS) -> tuple[str, list[dict], list[dict]]:
-    """T-02, A-09: status (ok, warn, fail), checks, and zero rates by group. A side without rows fails without checks."""
-    sides = {}
-    for name, df in (("ref", ref), ("test", test)):
-        days = rows_per_day(df, timestamp_col)
-        f = days.agg(F.avg("n").alias("mean"), F.sum("n").alias("rows"), F.count_if(F.col("n") < thresholds["tier0_min_rows_per_day"]).alias("low")).first()
-        if not f["rows"]:
-            return "fail", [], []
-        gap = sampling_interval(df, timestamp_col, order_by).first()
-        sides[name] = {"mean": f["mean"], "rows": df.count(), "low": f["low"], "gap": gap["seconds"] if gap else math.nan, "zero": zero_rates(df, features)}
-    a, b = sides["ref"], sides["test"]
-    drop = 100.0 * (a["mean"] - b["mean"]) / a["mean"] if a["mean"] else math.nan
-    steady = abs(a["gap"] - b["gap"]) <= 1
-    apart = abs(a["gap"] - b["gap"]) > 1
-    checks = [
-        {"check": "ref_rows", "value": a["rows"], "level": "info", "passed": True},
-        {"check": "test_rows", "value": b["rows"], "level": "info", "passed": True},
-        {"check": "ref_mean_rows_per_day", "value": round(a["mean"], 1), "level": "info", "passed": True},
-        {"check": "test_mean_rows_per_day", "value": round(b["mean"], 1), "level": "info", "passed": True},
-        {"check": "row_count_drop_pct", "value": round(drop, 2), "level": "fail" if drop > thresholds["tier0_row_count_drop_pct"] else "ok", "passed": drop <= thresholds["tier0_row_count_drop_pct"]},
-        {"check": "sampling_interval_sec_ref", "value": a["gap"], "level": "info", "passed": True},
-        {"check": "sampling_interval_sec_test", "value": b["gap"], "level": "warn" if apart else "ok", "passed": steady},
-        {"check": "test_days_below_min_rows", "value": b["low"], "level": "warn" if b["low"] else "ok", "passed": not b["low"]},
-    ]
-    levels = {c["level"] for c in checks if not c["passed"]}
-    by_group = []
+    """T-02, A-09: status (ok, warn, fail), checks, and zero rates by group. A side without rows fails without checks. A gate whose value
+    is unknown has not passed, but raises no alarm."""
+    facts = _facts(ref, "ref", timestamp_col, order_by, thresholds).crossJoin(_facts(test, "test", timestamp_col, order_by, thresholds))
+    rows = []
+    for name, value, bad, level in _GATES:
+        hit = F.expr(bad.format(**thresholds)) if bad else F.lit(False)
+        rows.append(F.struct(F.lit(name).alias("check"), F.expr(value).cast("double").alias("value"), F.when(hit, F.lit(level)).otherwise("ok" if bad else "info").alias("level"), F.coalesce(~hit, F.lit(False)).alias("passed")))
+    gates = facts.filter("ref_mean is not null and test_mean is not null").select(F.inline(F.array(*rows))).collect()
+    if not gates:
+        return "fail", [], []
+    checks = [{**r.asDict(), "value": math.nan if r["value"] is None else r["value"]} for r in gates]
+    by_group = group_zero_rates(zero_rates(ref, features), zero_rates(test, features), groups, metrics, thresholds)
+    levels = {c["level"] for c in checks if not c["passed"]} | {g["level"] for g in by_group}
+    return next((x for x in ("fail", "warn") if x in levels), "ok"), checks, by_group
+
+
+def group_zero_rates(ref: Mapping[str, float], test: Mapping[str, float], groups: Sequence[str], metrics: Sequence[str], thresholds: Mapping = THRESHOLDS) -> list[dict]:
+    """A-09: of each group that has features, the mean zero rates of both sides and how far they are apart."""
+    out = []
     for g in groups:
-        own = [f"{m}_{g}" for m in metrics if f"{m}_{g}" in a["zero"]]
-        if own:
-            za, zb = (sum(s["zero"][c] for c in own) / len(own) for s in (a, b))
-            delta = abs(zb - za)
-            level = "fail" if delta > thresholds["tier0_db_zero_fail_pp"] else "warn" if delta > thresholds["tier0_db_zero_warn_pp"] else "ok"
-            levels.add(level)
-            by_group.append({"group": g, "zero_rate_ref": round(za, 4), "zero_rate_test": round(zb, 4), "delta_pp": round(zb - za, 4), "level": level})
-    return "fail" if "fail" in levels else "warn" if "warn" in levels else "ok", checks, by_group
+        own = [c for c in (f"{m}_{g}" for m in metrics) if c in ref]
+        if not own:
+            continue
+        before, after = (math.fsum(side[c] for c in own) / len(own) for side in (ref, test))
+        apart = abs(after - before)
+        level = next((x for x in ("fail", "warn") if apart > thresholds[f"tier0_db_zero_{x}_pp"]), "ok")
+        out.append({"group": g, "zero_rate_ref": round(before, 4), "zero_rate_test": round(after, 4), "delta_pp": round(after - before, 4), "level": level})
+    return out
 
 
 def drift_class(*, sparse: Column, zero_delta: Column, median_shift: Column, ks: Column, robust_d: Column, thresholds: Mapping = THRESHOLDS) -> Column:
@@ -150,6 +167,7 @@ def monitor(df: DataFrame, *, timestamp_col: str, features: Sequence[str], group
     classes = sorted({r["input_drift_class"] for r in rows})
     names = sorted({r["group"] for r in rows})
     count = lambda g, c: sum(r["group"] == g and r["input_drift_class"] == c for r in rows)
+    # The keys of reports, which their readers match on.
     report = {
         "study": study,
         "run_prefix": run_prefix,
@@ -170,6 +188,23 @@ def monitor(df: DataFrame, *, timestamp_col: str, features: Sequence[str], group
 
 
 def write_report(report: dict, path: str) -> None:
-    """S-15."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, default=str)
+    """S-15: as JSON, in any file system that Spark reaches."""
+    write_text(json.dumps(report, indent=2, default=str), path)
+
+
+def drift_map(report: dict, width: int = 640, height: int = 420) -> str:
+    """S-15, T-11: features by median shift (capped at 100 %, the axis' end) and KS distance, in their class's colour, as an SVG picture.
+    Sparse and excluded features, and those without both sizes, are left out."""
+    left, foot = 50, 40
+    across = lambda v: left + (max(-100.0, min(100.0, v)) + 100) / 200 * (width - left - 20)
+    up = lambda v: height - foot - max(0.0, min(1.0, v)) * (height - foot - 20)
+    shown = [r for r in report["tier1_all_features"] if r["input_drift_class"] not in ("sparse", "excluded") and all(r[k] is not None and not math.isnan(r[k]) for k in ("median_shift_pct", "ks_stat"))]
+    dots = "".join(f'<circle cx="{across(r["median_shift_pct"]):.1f}" cy="{up(r["ks_stat"]):.1f}" r="4" fill="{COLOURS[r["input_drift_class"]]}"><title>{escape(r["feature"])}: {r["input_drift_class"]}</title></circle>' for r in shown)
+    axes = f'<path d="M{left} 20V{height - foot}H{width - 20}" fill="none" stroke="black"/><text x="{width // 2}" y="{height - 8}">median shift, %</text><text x="8" y="14">KS</text>'
+    legend = "".join(f'<text x="{left + 10 + 110 * i}" y="14" fill="{COLOURS[c]}">{c}</text>' for i, c in enumerate(sorted({r["input_drift_class"] for r in shown})))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="12">{axes}{legend}{dots}</svg>'
+
+
+def save_drift_map(report: dict, path: str) -> None:
+    """T-11."""
+    write_text(drift_map(report), path)

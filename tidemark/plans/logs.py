@@ -9,19 +9,20 @@ from tidemark.operators.joins import filter_incidents, gather_vectors
 from tidemark.operators.order import with_row_index
 from tidemark.operators.scoring import verdicts, window_scores
 from tidemark.operators.templates import TemplateMiner, hashed_embedding
-from tidemark.operators.windows import generate_windows, node_windows
+from tidemark.operators.windows import WHOLE, generate_windows, node_windows
 
 
-def prepared(lines: DataFrame, incidents: DataFrame | None = None, *, datetime_column: str, logs_column: str, order_by, partition_by=(), delta_thr: float = 10, sequence_length: int = 2, incident_buffer: int | None = None, mode: str = "outside") -> tuple[DataFrame, DataFrame]:
-    """L-15: the lines outside incidents with a row index (within partition_by, if named), and windows of indices within sessions."""
+def prepared(lines: DataFrame, incidents: DataFrame | None = None, *, datetime_column: str, logs_column: str, order_by, partition_by, delta_thr: float = 10, sequence_length: int = 2, incident_buffer: int | None = None, mode: str = "outside") -> tuple[DataFrame, DataFrame]:
+    """L-15: the lines outside incidents with a row index within partition_by (WHOLE: over all), and windows of indices within sessions."""
     kept = filter_incidents(lines, incidents, datetime_column=datetime_column, logs_column=logs_column, incident_buffer=incident_buffer, mode=mode, order_by=order_by)
-    indexed = with_row_index(kept, order_by, partition_by=partition_by)
+    indexed = with_row_index(kept, order_by, partition_by=() if partition_by == WHOLE else partition_by)
     return indexed, generate_windows(indexed, column=datetime_column, order_by="index", partition_by=partition_by, delta_thr=delta_thr, sequence_length=sequence_length)
 
 
-def template_table(miner: TemplateMiner, spark, size: int = 64) -> DataFrame:
-    """M-05: ClusterId, Template, vector: templates with their encoding."""
-    return miner.templates_frame(spark).withColumn("vector", hashed_embedding("Template", size))
+def template_table(miner: TemplateMiner, spark, size: int = 64, encoder=None) -> DataFrame:
+    """M-05, X-05: ClusterId, Template, vector: templates with their encoding. encoder: from a column of texts to one of arrays, such as a
+    Pandas UDF around a trained model; without it, hashed tokens are counted."""
+    return miner.templates_frame(spark).withColumn("vector", (encoder or (lambda c: hashed_embedding(c, size)))(F.col("Template")))
 
 
 def missing_templates(ids: DataFrame, table: DataFrame, key: str = "ClusterId") -> DataFrame:

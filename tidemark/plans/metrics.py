@@ -11,7 +11,7 @@ from tidemark.functions.text import cyclic_features
 from tidemark.operators.frame import exclude_ranges, ordered_features, split_train_test, zero_filled
 from tidemark.operators.scaling import Scaler
 from tidemark.operators.scoring import cells, classified, mse_by_feature, pooled_mse, ranked_mse, reconstructed
-from tidemark.operators.windows import last_row_windows
+from tidemark.operators.windows import WHOLE, last_row_windows
 
 
 def prepared(df: DataFrame, *, timestamp_col: str, metric_columns: Sequence[str], exclude: Sequence[dict] = (), periods: Mapping[str, float] | None = None, scaler: Scaler | None = None, kind: str = "StandardScaler") -> tuple[DataFrame, Scaler | None]:
@@ -35,16 +35,16 @@ def split_and_prepared(df: DataFrame, *, timestamp_col: str, metric_columns: Seq
     return {"train": train, "validation": prepared(own["validation"], exclude=exclude, scaler=scaler, **more)[0], "test": prepared(own["test"], scaler=scaler, **more)[0]}, scaler
 
 
-def inferred(df: DataFrame, *, timestamp_col: str, metric_columns: Sequence[str], scaler: Scaler | None, model, threshold: float | None, window_size: int, periods: Mapping[str, float] | None = None, partition_by=(), top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+def inferred(df: DataFrame, *, timestamp_col: str, metric_columns: Sequence[str], scaler: Scaler | None, model, threshold: float | None, window_size: int, periods: Mapping[str, float] | None = None, partition_by=WHOLE, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
     """M-08, Q-17: verdicts of windows (window_ts, mse, predicted) and their ranked features. Missing values are 0; cyclic features are
-    inputs of the model, and of the error."""
+    inputs of the model, and of the error. A metric series is one row for each instant; WHOLE takes all of it as one."""
     rows = cyclic_features(zero_filled(df, metric_columns), timestamp_col, {} if periods is None else periods)
     rows = scaler.transform(rows, metric_columns) if scaler else rows
     extra = [c for c in rows.columns if c not in df.columns]
     names = [*metric_columns, *extra]
-    keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    keys = [] if partition_by == WHOLE else [partition_by] if isinstance(partition_by, str) else list(partition_by)
     rows = ordered_features(rows, metric_columns, extra, keep=[*keys, timestamp_col])
-    windows = last_row_windows(rows, names, window_size, timestamp=timestamp_col, order_by=timestamp_col, partition_by=keys)
+    windows = last_row_windows(rows, names, window_size, timestamp=timestamp_col, order_by=timestamp_col, partition_by=keys or WHOLE)
     made = reconstructed(windows.select(F.struct(*keys, "window_ts").alias("id"), "window"), model)
     flat = cells(made, key="id")
     verdict = classified(pooled_mse(flat, window="id"), "mse", threshold) if threshold is not None else pooled_mse(flat, window="id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
+from tidemark.sources.shared import read_text
+
 _FACTORIES: dict[tuple[str, str], Callable] = {}
 
 
@@ -31,5 +33,4 @@ def make(kind: str, config: Mapping):
 
 
 def load(kind: str, path: str):
-    with open(path, encoding="utf-8") as f:
-        return make(kind, json.load(f))
+    return make(kind, json.loads(read_text(path)))

@@ -6,10 +6,11 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import parsed_datetime
+from tidemark.sources.shared import read_bytes, read_text, write_bytes, write_text
 
 #: Formats of Spark itself; others (delta, iceberg, avro, excel) work where their package is on the class path.
 FORMATS = ("parquet", "csv", "json", "ndjson", "orc", "text", "avro", "delta", "iceberg", "xml")
@@ -76,8 +77,6 @@ def save_next(df: DataFrame, path: str, base: str = "dataset") -> str:
 def read_lines(spark: SparkSession, path: str, line_id: bool = True) -> DataFrame:
     """S-06: raw text, one row for each line, with file and line_id: the line's place in its file. Numbering goes by file and by the
     offset of the block that Spark read, so no single task sees all lines."""
-    from pyspark.sql import Window
-
     df = spark.read.text(path).withColumnRenamed("value", "raw")
     if not line_id:
         return df
@@ -127,6 +126,93 @@ def rows_from_files(df: DataFrame, starts: Sequence[str] = (), ends: Sequence[st
 
 
 def save_json(value: dict, path: str) -> None:
-    """S-15, S-17."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, default=str)
+    """S-15, S-17, C-20: in any file system that Spark reaches."""
+    write_text(json.dumps(value, indent=2, default=str), path)
+
+
+def load_json(path: str) -> dict:
+    """C-20."""
+    return json.loads(read_text(path))
+
+
+def metadata_of(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """S-02: file, bytes, changed and rows of each file of a table, without reading a column."""
+    m = "_metadata"
+    return load(spark, path, fmt).groupBy(F.col(f"{m}.file_path").alias("file"), F.col(f"{m}.file_size").alias("bytes"), F.col(f"{m}.file_modification_time").alias("changed")).agg(F.count("*").alias("rows"))
+
+
+def batches(df: DataFrame, rows: int):
+    """S-02: a table in batches of at most that many rows, as lists, one partition at a time on the driver: for small consumers."""
+    held = []
+    for r in df.toLocalIterator():
+        held.append(r)
+        if len(held) == rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def save_npy(df: DataFrame, path: str, column: str, order_by: str, limit_mb: int = 256) -> None:
+    """S-04: a matrix as one NumPy file. Its size is checked first: one file means one writer, the driver."""
+    import io
+
+    import numpy as np
+
+    n, width = df.agg(F.count("*"), F.max(F.size(column))).first()
+    if 8 * n * (width or 0) > limit_mb << 20:
+        raise ValueError(f"a matrix of {n} rows and {width} columns is beyond {limit_mb} MB; save_matrix writes a table")
+    out = io.BytesIO()
+    np.save(out, np.array([r[0] for r in df.orderBy(order_by).select(column).collect()], np.float64))
+    write_bytes(out.getvalue(), path, df.sparkSession)
+
+
+def row_locations(spark: SparkSession, paths: Sequence[str], positions: DataFrame, position: str = "position") -> DataFrame:
+    """S-12: position, file, row: where rows of several tables, taken one after another in this order, lie. Counts alone are read; a position
+    beyond the last row has file "" and row -1."""
+    counts = row_counts(spark, paths).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
+    order = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "place int, path string").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    per = counts.join(F.broadcast(order), F.col("file").startswith(F.col("path")))  # few files of few paths
+    w = Window.orderBy("place", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    spans = per.select("file", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("_from"), "rows")
+    found = positions.join(F.broadcast(spans), (F.col(position) >= F.col("_from")) & (F.col(position) < F.col("_from") + F.col("rows")), "left")
+    return found.select(position, F.coalesce("file", F.lit("")).alias("file"), F.coalesce(F.col(position) - F.col("_from"), F.lit(-1)).cast("long").alias("row"))
+
+
+def load_windows(spark: SparkSession, windows: str, embeddings: str, *, window_id: str = "window_id", ids: str = "ids", key: str = "template_id", vector: str = "vector") -> DataFrame:
+    """S-13: windows of ids with the vectors of these, from a Parquet table each."""
+    from tidemark.operators.joins import gather_vectors
+
+    return gather_vectors(spark.read.parquet(windows), spark.read.parquet(embeddings), window_id=window_id, ids=ids, key=key, vector=vector)
+
+
+def load_training_texts(spark: SparkSession, path: str | Sequence[str], column: str = "text") -> DataFrame:
+    """S-14: anchor and positive: each distinct text beside itself, as a contrastive training set takes them."""
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path)).select(F.col(column).alias("anchor")).filter("anchor is not null").distinct()
+    return df.withColumn("positive", F.col("anchor"))
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """S-18: copies a folder or file in place of the target."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    b.getFileSystem(conf).delete(b, True)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def unpacked(spark: SparkSession, archive: str, target: str) -> list[str]:
+    """S-18: the files of a tar archive, written into a folder; names that point outside are refused."""
+    import io
+    import posixpath
+    import tarfile
+
+    out = []
+    with tarfile.open(fileobj=io.BytesIO(read_bytes(archive, spark))) as tar:
+        for m in tar:
+            if m.isfile():
+                name = posixpath.normpath(m.name)
+                if name.startswith(("/", "..")):
+                    raise ValueError(f"{m.name} points outside")
+                write_bytes(tar.extractfile(m).read(), f"{target.rstrip('/')}/{name}", spark)
+                out.append(name)
+    return sorted(out)
