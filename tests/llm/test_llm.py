@@ -333,6 +333,52 @@ def test_short_parts_of_unmarked_pages():
     assert html_text.main_text(f"{menu}<div class=ad>x</div><div>{page}</div><div class=ad>x</div>{menu}") == f"T {long} Part short Closing word here."
 
 
+def test_sums_of_line_blocks():
+    for _ in range(50):
+        x, w = [rng.choice([0, 0, rng.random() * 100]) for _ in range(rng.randint(0, 40))], rng.randint(1, 9)
+        want = [sum(x[max(0, i - w + 1) : i + 1]) for i in range(len(x) + w - 1)] if x else []
+        assert html_text.block_sums(x, w) == pytest.approx(want)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_line_blocks_decide_without_names():
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(DATA.replace("0.001", "0.1") + "/pages.parquet").column("html").to_pylist()
+    plain = lambda h: re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b[^>]*>", r"<\1div>", h))
+    same = [html_text.main_text(plain(h)) == html_text.main_text(h) for h in pages]
+    assert np.mean(same) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-policy", "search-results-study"])
+def test_length_overrules_names(name):
+    long = ("long text " * 100).strip()
+    page = f'<nav><a href=x>m</a></nav><div class=ad>buy now</div><div class="{name}"><h1>T</h1><p>{long}</p><p>end.</p></div><footer>f</footer>'
+    assert html_text.main_text(f"<body>{page}</body>") == f"T {long} end."
+    inside = f'<article><h1>T</h1><div class="{name}"><p>{long}</p></div><p>end.</p><section class=comments><p>first!</p></section></article>'
+    assert html_text.main_text(f"<body><div class=ad>buy now</div>{inside}</body>") == f"T {long} end."
+
+
+def test_short_sections_of_marked_articles():
+    long = ("long text " * 100).strip()
+    assert html_text.main_text(f"<article><section><p>{long}</p></section><div class=ad>x</div><section><h2>P</h2><p><a href=x>link</a></p></section></article>") == f"{long} P link"
+
+
+def test_long_and_deep_pages():
+    text = " ".join(["word"] * 200_000)
+    assert html_text.main_text(f"<article><p>{text}</p></article>") == text
+    assert html_text.main_text("<div>" * 3000 + "<p>deep text</p>" + "</div>" * 3000) == "deep text"
+    assert html_text.main_text("<p>" * 20_000 + "x") == "x"
+
+
+def test_clashing_columns_give_way(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old", 7)], "page_id long, url string, html string, text string, n_chars int")
+    r = html_text.extracted(pages, keep=("page_id", "text", "n_chars", "html")).first().asDict()
+    assert r == {"page_id": 1, "html": "<p>a</p>", "text": "a", "n_chars": 1}
+
+
 def test_pages_with_null_columns(spark):
     pages = spark.createDataFrame([(None, None, "<p>a</p>"), (1, "u", None), (1, "u", None)], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extracted(pages).collect()] == [(None, "a", 1), (1, "", 0), (1, "", 0)]
@@ -434,11 +480,13 @@ def test_tables_grow_with_hyperplanes():
         assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.999
 
 
-def test_top_k(spark):
-    df = vectors(spark)
+@pytest.mark.parametrize("first", [1, 3, 1000])
+def test_top_k(spark, first):
+    df = vectors(spark).repartition(3)
+    df = df.unionByName(spark.createDataFrame([(400, [1e18] * 8, 0), (420, [-1e300] * 8, 0)], df.schema))  # scores would leave 64 bits
     queries = df.filter("vec_id % 20 = 0")
-    got = topk.top_k(queries, df, k=5, shard=16, block=3).collect()
-    ok = [r for r in usable(df.collect()) if r.vec_id is not None]
+    got = topk.top_k(queries, df.withColumn("score", F.lit("x")), k=5, shard=16, block=3, first=first).collect()
+    ok = [r for r in usable(df.collect()) if r.vec_id is not None and r.vec_id < 400]
     x = {i: np.floor(1024 * np.array(r.embedding, "f8")).astype(int) for i, r in enumerate(ok)}
     want = []
     for q in (i for i, r in enumerate(ok) if r.vec_id % 20 == 0):
