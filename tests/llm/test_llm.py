@@ -552,6 +552,83 @@ def test_string_kernel_by_brute_force():
     assert toxicity.kernel_sums([a], toxicity.triples(b))[0] == pytest.approx(want, rel=1e-6)
 
 
+def test_toxicity_scores_by_brute_force():
+    own = random.Random(3)
+    pool = ["".join(own.choices("abcdefgh", k=own.randint(2, 7))) for _ in range(150)]
+    make = lambda bad: " ".join([*own.choices(pool, k=own.randint(5, 40)), *(["grobian", "dumm-kopf"] if bad else [])])
+    model = toxicity.fitted([(make(i % 3 == 0), int(i % 3 == 0)) for i in range(240)])
+    texts = ["", "One two", make(True), make(False), "d u m m k o p f und Grobian!", "gr\u00f6bian " * 3 + "x" * 90, "\u65e5\u672c 123"]
+    for t, got in zip(texts, model.scores(texts), strict=True):
+        forms = [toxicity.plain(w) for w in t.split()] + [toxicity.plain(m[0].replace(" ", "")) for m in toxicity._SPELLED.finditer(t)]
+        parts = [[w] if len(w) <= 40 else [w[a : a + 40] for a in range(0, len(w) - 20, 20)] for w in forms]
+        margin = [max(max(float(toxicity.triples(p) @ model.weight) for p in ps), -1.0) + model.bias for ps in parts]
+        n = len(margin)
+        x = [np.log((sum(m > c for m in margin) + 0.3) / (n + 20)) for c in toxicity.CUTS]
+        top = sorted(margin)[-3:]
+        two = [(margin[i] + margin[i + g]) * toxicity.GAP ** (g - 1) for g in (1, 2, 3) for i in range(n - g)]
+        x += [top[-1], np.mean(top), max((max((margin[i] + margin[i + g]) for i in range(n - g)) * toxicity.GAP ** (g - 1) for g in (1, 2, 3) if n > g), default=top[-1] - 1)] if n else [-1.0] * 3
+        assert n < 2 or two
+        z = sum((v - c) / s * f for v, c, s, f in zip(x, model.centre, model.spread, model.factors, strict=False)) + model.factors[-1]
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6), t
+
+
+def test_toxicity_in_each_language():
+    import pyarrow.parquet as pq
+
+    base = DATA.replace("0.001", "0.1")
+    if not Path(base).exists():
+        pytest.skip("no test data")
+    docs, labels = (pq.read_table(f"{base}/{n}.parquet").to_pandas() for n in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id").dropna(subset=["toxic"])
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id])
+    model = toxicity.fitted(list(zip(rows.text[~held], rows.toxic[~held].astype(int), strict=True)))
+    hit = model.scores([t or "" for t in rows.text[held]]) >= 0.3
+    truth, lang = rows.toxic[held].to_numpy() == 1, rows.lang[held].to_numpy()
+    assert (hit & truth).sum() / hit.sum() >= 0.9 and (hit & truth).sum() / truth.sum() >= 0.85
+    for g, least in (("de", 0.8), ("en", 0.9), ("es", 0.4), ("fr", 0.8)):
+        assert (hit & truth & (lang == g)).sum() >= least * (truth & (lang == g)).sum(), g
+
+
+def test_kept_columns_that_clash(spark):
+    docs = documents(spark, ["a text", None])
+    r = toxicity.scored(docs, None, keep=("doc_id", "score", "text")).first()
+    assert r.asDict() == {"doc_id": 0, "text": "a text", "score": 0.0, "predicted": 0}
+    assert language.identified(docs.withColumnRenamed("lang", "Score2"), None, keep=("doc_id", "score")).first().asDict() == {"doc_id": 0, "lang_pred": "und", "score": 0.0, "rejected": True}
+
+
+def test_language_by_brute_force():
+    own = random.Random(5)
+    stems = {"aa": ["ung", "keit", "sch"], "bb": ["eux", "tion", "oir"]}
+    make = lambda g, n: " ".join("".join(own.choices(stems[g], k=own.randint(1, 3))) for _ in range(n))
+    model = language.fitted([(make(g, own.randint(1, 60)), g) for g in ("aa", "bb") * 100])
+    texts = ["", "Keit ung", make("bb", 500), "\u65e5\u672c\u8a9e \u043f\u0440\u0438\u0432\u0435\u0442", "x" * 3000]
+
+    def slow(text):
+        total, n = np.zeros(2), 0
+        for w in text.split():
+            ids = language.grams([w])[0]
+            for i in ids.tolist():
+                total += model.score[i]
+                n += 1
+        z = (total / max(1, n) + model.bias) * model.heat
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    assert np.allclose(model.probabilities(texts), [slow(t) for t in texts], atol=1e-5)
+
+
+def test_language_rejects_what_it_cannot_tell(spark):
+    own = random.Random(6)
+    stems = {"aa": ["ung", "keit", "sch"], "bb": ["eux", "tion", "oir"], "cc": ["ado", "mente", "esque"]}
+    make = lambda g, n: " ".join("".join(own.choices(stems[g], k=own.randint(1, 3))) for _ in range(n))
+    model = language.fitted([(make(g, own.randint(1, 60)), g) for g in stems for _ in range(100)])
+    known = [(i, make(g, 20)) for i, g in enumerate(["aa", "bb", "cc"] * 20)]
+    # a text of three languages in equal parts, and one of a script that no label has
+    odd = [(100, " ".join(make(g, 300) for g in stems)), (101, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 40)]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(known + odd, "doc_id long, text string"), model).collect()}
+    assert not any(got[i].rejected for i, _ in known) and all(got[i].score > 0.9 for i, _ in known)
+    assert got[100].rejected or got[101].rejected, (got, model.threshold)
+
+
 def test_language(spark):
     stems = {"aa": ["ung", "keit", "sch"], "bb": ["eux", "tion", "oir"], "cc": ["ado", "mente", "ción"]}
     make = lambda g, n: " ".join("".join(rng.choice(stems[g]) for _ in range(rng.randint(1, 3))) for _ in range(n))

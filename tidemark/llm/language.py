@@ -4,7 +4,8 @@ A text is the average of the embeddings of all 2- to 4-byte grams of its words.
 the sample that was not trained on; there, too, the threshold is found under which a prediction is rejected.
 
 Texts that are null or have no letter are `und` with score 0 and are rejected. Rows with a null language are predicted, never learned
-from. With no labelled rows every text is `und`. Rows are independent: repeated rows get equal results.
+from. With no labelled rows every text is `und`. Very long texts are read whole, in scripts of any kind. Rows are independent: repeated
+rows get equal results. A kept column named lang_pred, score or rejected gives way to the operator's own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ def fitted(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 8, rate: fl
             w = t.split()
             parts = [w] + [w[a : a + int(rng.integers(2, 41))] for a in rng.integers(0, len(w), snippets)]
             for p in parts:
-                ids = grams(p)[0].astype(np.int32)
-                bags.append(rng.choice(ids, 500) if len(ids) > 500 else ids)  # in a step, 500 of its grams stand for a long text's
+                ids, count = np.unique(grams(p)[0], return_counts=True)  # of a long text, each gram once, with its share
+                bags.append((ids.astype(np.int32), (count / count.sum()).astype(np.float32)))
             labels += [langs.index(g)] * len(parts)
     embed = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -92,19 +93,19 @@ def fitted(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 8, rate: fl
     for epoch in range(epochs if len(labels) else 0):
         step = rate * (1 - epoch / epochs)
         for at in np.array_split(rng.permutation(len(labels)), -(-len(labels) // 64)):
-            ids = np.concatenate([bags[i] for i in at])
-            size = np.array([len(bags[i]) for i in at])
+            ids, part = (np.concatenate([bags[i][k] for i in at]) for k in (0, 1))
+            size = np.array([len(bags[i][0]) for i in at])
             own = np.repeat(np.arange(len(at)), size)
-            mean = np.add.reduceat(embed[ids], np.cumsum(size) - size, axis=0) / size[:, None]
+            mean = np.add.reduceat(embed[ids] * part[:, None], np.cumsum(size) - size, axis=0)
             slope = _softmax(mean @ out + bias)
             slope[np.arange(len(at)), labels[at]] -= 1
             slope = (slope / len(at)).astype(np.float32)
-            back_to = (slope @ out.T) / size[:, None]
+            back_to = (slope @ out.T).astype(np.float32)
             out -= step * 4 * mean.T @ slope
             bias -= step * slope.sum(0)
             by = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
-            embed[ids[by][first]] -= np.add.reduceat((step * 200 * back_to).astype(np.float32)[own[by]], first, axis=0)
+            embed[ids[by][first]] -= np.add.reduceat((step * 200 * back_to)[own[by]] * part[by, None], first, axis=0)
     model = Model(langs, embed @ out, bias.astype(np.float64), 1.0, 0.0)
     held = [r for r, b in zip(rows, back, strict=True) if b] or rows
     p = np.concatenate([model.probabilities([t for t, _ in held[i : i + 200]]) for i in range(0, len(held), 200)])
@@ -144,9 +145,10 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", keep: t
     return mapped(docs, text, keep, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]), work)
 
 
-def model_of(docs: DataFrame, bound: int = 3000) -> Model | None:
-    """A model fitted on at most `bound` rows (doc_id, text, lang) with text and lang."""
-    return fitted([(r["text"], r["lang"]) for r in sample(docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", bound)])
+def model_of(docs: DataFrame, bound: int = 3000, most: int = 96 << 20) -> Model | None:
+    """A model fitted on at most `bound` rows (doc_id, text, lang) with text and lang, and about `most` bytes of text."""
+    rows = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    return fitted([(r["text"], r["lang"]) for r in sample(rows, "doc_id", bound, text="text", most=most)])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(df: DataFrame, key: str, bound: int, seed: int = 0) -> list:
-    """At most `bound` rows of df, dealt by a hash of the key so that every part of the table has its share."""
-    n = df.count()
-    if n > bound:
-        df = df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+def sample(df: DataFrame, key: str, bound: int, seed: int = 0, text: str | None = None, most: int = 0) -> list:
+    """At most `bound` rows of df, and about `most` bytes of the column `text`, if it is named, dealt by a hash of the key so that every
+    part of the table has its share."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(text)) if text else F.lit(0)).first()
+    share = min(bound / max(1, n), most / max(1, size or 0) if text else 1.0)
+    if share < 1:
+        df = df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * share))
     return df.limit(bound).collect()
 
 

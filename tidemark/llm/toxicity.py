@@ -2,13 +2,20 @@
 
 The kernel compares words by their common character triples, in order but not next to each other: a triple that spans n places weighs
 decay ** n. Gaps, inserted characters and characters standing for letters so cost little. Landmark words span the Nystroem features;
-labelled sentences train a linear machine on them: a text labelled toxic is a bag with one word at least that is, a clean text has none.
-The machine picks each bag's witness and the clean words that come nearest, and trains again. As the machine is linear, landmarks and
-weights fold into one weight for each triple, and a word costs no more than its own triples. A text scores as its highest word, put on a
-scale from 0 to 1 by a logistic fit.
-
-Null texts count as empty; texts without words get the score of the lowest margin. Rows are independent: repeated rows get equal
-results. Without labels of both kinds every text gets score 0. Labels whose document is missing, or that are null, teach nothing.
+labelled sentences train a linear machine on them: a sentence labelled toxic is a bag with some words at least that are, a clean one
+has none. The machine picks each toxic bag's witnesses and the clean words that come nearest, and trains again. As the machine is linear,
+landmarks and weights fold into one weight for each triple, and a word costs no more than its own triples; machines of several draws of
+landmarks are averaged, at no cost.
+
+One such word also comes up by chance in a long clean text, so a text is scored as a sequence: by how large a share of its words
+has margins over each of several cuts, by its highest margins, and by the highest of two words with up to two others between them, a gap
+that decays. A logistic fit on the labelled sentences makes these a score from 0 to 1. What only the meeting of two harmless words shows is
+not learned: their margins are those of harmless words.
+
+Null texts count as empty; texts without words get the score of the lowest margins. Words of more than 40 characters are compared in
+overlapping stretches, very long texts are read whole. Rows are independent: repeated rows get equal results. Without labels of
+both kinds every text gets score 0. Labels whose document is missing, or that are null, teach nothing. A kept column named score or
+predicted gives way to the operator's own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,37 +95,53 @@ def kernel_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
 def triples(word: str) -> np.ndarray:
     """A word's place in the kernel's feature space."""
     out = np.zeros(SIZE**3)
-    c = [27, *(int(_CODES[ord(x)]) if ord(x) < len(_CODES) else 0 for x in word[:_LONG]), 28]
-    for i, j, k in combinations(range(len(c)), 3):
-        if k - i < SPAN and c[i] and c[j] and c[k]:
-            out[(c[i] * SIZE + c[j]) * SIZE + c[k]] += DECAY ** (k - i + 1)
+    c = [27, *(int(_CODES[ord(x)]) if ord(x) < len(_CODES) else 0 for x in word), 28]
+    for i in range(len(c)):
+        for a, b in _OFFSETS:
+            if i + b < len(c) and c[i] and c[i + a] and c[i + b]:
+                out[(c[i] * SIZE + c[i + a]) * SIZE + c[i + b]] += DECAY ** (b + 1)
     return out / _norm(len(c))
 
+#: Margins over which the words of a text are counted.
+CUTS = (-0.2, 0.2, 0.6, 1.0, 1.4)
+#: What a gap of a word costs a pair.
+GAP = 0.8
+
+
 class Model:
-    """weight: of each triple; a word's margin is its kernel sum plus bias, a text's score logistic in its highest margin."""
+    """weight: of each triple; a word's margin is its kernel sum plus bias. centre, spread, factors: of the logistic fit over a text's
+    features, the last factor is constant."""
 
-    def __init__(self, weight: np.ndarray, bias: float, slope: float = 1.0, at: float = 0.0, base: float = 0.0):
-        self.weight, self.bias, self.slope, self.at, self.base = weight, bias, slope, at, base
+    def __init__(self, weight: np.ndarray, bias: float):
+        self.weight, self.bias = weight, bias
+        n = len(CUTS) + 3
+        self.centre, self.spread, self.factors = np.zeros(n), np.ones(n), np.zeros(n + 1)
 
-    def margins(self, texts: list[str]) -> np.ndarray:
+    def margins(self, texts: list[str]) -> list[np.ndarray]:
+        """The margins of each text's words, in order, with spelled-out words at the end."""
         words, at, begins = words_of(texts)
-        own = [[plain(m[0].translate(_GLUE)) for m in _SPELLED.finditer(t)] for t in texts]
-        more = sorted({w for ws in own for w in ws})
-        place = {w: len(words) + i for i, w in enumerate(more)}
-        forms = [plain(w) for w in words] + more
-        sums = np.maximum(kernel_sums(forms, self.weight), -1.0) + self.bias if forms else np.zeros(0)
-        out = np.full(len(texts), self.bias - 1.0)
-        size = np.diff(begins)
-        if len(at):
-            full = np.flatnonzero(size)
-            out[full] = np.maximum(out[full], np.maximum.reduceat(sums[at], begins[:-1][full]))
-        for i, ws in enumerate(own):
-            for w in ws:
-                out[i] = max(out[i], sums[place[w]])
-        return out
+        forms = [plain(w) for w in words]
+        more = [[plain(m[0].translate(_GLUE)) for m in _SPELLED.finditer(t)] for t in texts]
+        new = sorted({w for own in more for w in own})
+        place = {w: len(words) + i for i, w in enumerate(new)}
+        sums = (np.maximum(kernel_sums(forms + new, self.weight), -1.0) + self.bias) if forms or new else np.zeros(0)
+        return [np.r_[sums[at[begins[i] : begins[i + 1]]], [sums[place[w]] for w in own]] for i, own in enumerate(more)]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return self.base + (1 - self.base) / (1 + np.exp(-np.clip(self.slope * (self.margins(texts) - self.at), -30, 30)))
+        x = np.array([features(m) for m in self.margins(texts)]).reshape(len(texts), len(CUTS) + 3)
+        return 1 / (1 + np.exp(-np.clip((x - self.centre) / self.spread @ self.factors[:-1] + self.factors[-1], -30, 30)))
+
+
+def features(margins: np.ndarray) -> list[float]:
+    """What a text is scored by, from the margins of its words in order."""
+    n = len(margins)
+    rates = [float(np.log(((margins > c).sum() + 0.3) / (n + 20))) for c in CUTS]
+    if not n:
+        return [*rates, -1.0, -1.0, -1.0]
+    top = np.sort(margins)[-3:]
+    two = max([float((margins[:-g] + margins[g:]).max()) * GAP ** (g - 1) for g in (1, 2, 3) if n > g], default=float(top[-1]) - 1)
+    return [*rates, float(top[-1]), float(top.mean()), two]
+
 
 _GLUE = str.maketrans("", "", " .*_-")
 
@@ -160,38 +183,25 @@ def _copies(texts: list[str], y: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, seed: int = 3) -> Model | None:
-    """A model from (text, toxic) rows."""
-    rows = sorted({(t or "", int(y)) for t, y in rows if y is not None})  # copies teach once
-    y = np.array([v for _, v in rows], np.int64)
-    if not len(y) or y.min() == y.max():
-        return None
-    rng = np.random.default_rng(seed)
-    once = _copies([t for t, _ in rows], y)
-    texts, y = [rows[i][0] for i in once], y[once]
-    del rows
-    forms: dict[str, str] = {}  # one string for each word, however many texts have it
-    bags = []
-    for t in texts:
-        own = {forms.setdefault(p, p) for w in t.split() if (p := plain(w))}
-        bags.append(sorted(own | {forms.setdefault(p, p) for m in _SPELLED.finditer(t) if (p := plain(m[0].translate(_GLUE)))}))
-    del forms
-    toxic, clean = (Counter(w for b, v in zip(bags, y, strict=True) if v == c for w in b) for c in (1, 0))
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+def _telling(toxic: dict, clean: dict, n1: int, n0: int) -> tuple[dict, dict, list]:
+    """Of the words of toxic texts: how far their toxic texts exceed those that their clean ones lead to expect, in standard deviations;
+    their odds; and those beyond doubt, in order."""
     share = n1 / n0
-    # how far a word's toxic texts exceed those that its clean ones lead to expect, in standard deviations
-    excess = {w: (n - share * clean[w]) / np.sqrt(share * clean[w] + 0.5) for w, n in toxic.items()}
-    odds = {w: np.log((toxic[w] + 0.1) / (share * (clean[w] + 0.5))) for w in toxic}
-    sure = sorted((w for w in toxic if excess[w] >= 3 and odds[w] >= 2.5 and toxic[w] >= (3 if n1 >= 20 else 1)), key=lambda w: (-excess[w], w))[:200]
-    if not sure:
-        sure = sorted(toxic, key=lambda w: (-excess[w], w))[:8]
-    telling, certain = sure[: landmarks // 2], set(sure)
+    excess = {w: (n - share * clean.get(w, 0)) / np.sqrt(share * clean.get(w, 0) + 0.5) for w, n in toxic.items()}
+    odds = {w: np.log((n + 0.1) / (share * (clean.get(w, 0) + 0.5))) for w, n in toxic.items()}
+    sure = sorted((w for w in toxic if excess[w] >= 3 and odds[w] >= 2.5 and toxic[w] >= (3 if n1 >= 20 else 1)), key=lambda w: (-excess[w], w))
+    return excess, odds, sure
+
+
+def _machine(bags: list, y: np.ndarray, toxic: Counter, clean: Counter, excess: dict, odds: dict, sure: list, landmarks: int, rounds: int, words: int, negatives: int, step: int, rng) -> tuple[np.ndarray, float] | None:
+    """Weight and bias of a machine over words."""
+    short = lambda ws: [w for w in ws if len(w) <= _LONG]  # longer words are compared in stretches, and are no landmarks
+    telling, certain = short(sure)[: landmarks // 2], set(sure)
 
-    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))][: 20 * landmarks]
+    common = short(w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])))[: 20 * landmarks]
     marks = telling + [common[i] for i in rng.permutation(len(common))[: landmarks - len(telling)] if common[i] not in set(telling)]
-    # clean words are negatives; each toxic bag's witness is a positive
     pool = sorted(set(clean) - set(sure))
-    pool = [pool[i] for i in rng.permutation(len(pool))[:40_000]]
+    pool = [pool[i] for i in rng.permutation(len(pool))[:words]]
     own = [[w for w in b if w in odds] if v else [] for b, v in zip(bags, y, strict=True)]
     score, floor, hard = {w: excess[w] for w in sure}, 0.0, set()
     for r in range(rounds):
@@ -201,12 +211,10 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
         half = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) of the Nystroem map
         to = phi @ half.astype(np.float32)
         witness = Counter(sure)
-        for b in own:
-            w = max(b, key=lambda x: (score.get(x, -9.0), x), default=None)
-            if w is not None and score.get(w, -9.0) > floor:  # else a bag without any telling word: a wrong label, or nothing to learn
-                witness[w] += 1
+        for b in own:  # a bag without any telling word: a wrong label, or nothing to learn
+            witness.update(w for w in b if score.get(w, -9.0) > floor)
         pos = sorted(witness)
-        neg = sorted((set(pool[:3000]) | hard) - set(pos))
+        neg = sorted((set(pool[:negatives]) | hard) - set(pos))
         if not neg:
             return None
         x = kernel_sums(pos + neg, to)
@@ -217,31 +225,67 @@ def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 3, s
         fold_in = phi.astype(np.float64) @ (half @ w)
         known = sorted(odds) + pool
         margin = dict(zip(known, (kernel_sums(known, fold_in) + b).tolist(), strict=True))
-        near = sorted((x for x in pool if x not in witness), key=lambda x: (-margin[x], x))[:300]
+        near = sorted((x for x in pool if x not in witness), key=lambda x: (-margin[x], x))[:step]
         hard |= set(near)
         # the clean words that come nearest are landmarks of the next round
-        marks = telling + list(dict.fromkeys([x for x in near if x not in marks][: landmarks // 4] + [x for x in marks if x not in telling]))[: landmarks - len(telling)] if r < rounds - 1 else marks
+        marks = telling + list(dict.fromkeys([x for x in short(near) if x not in marks][: landmarks // 4] + [x for x in marks if x not in telling]))[: landmarks - len(telling)] if r < rounds - 1 else marks
         # a word that is no sure one is a witness only where the machine is certain of it
         score, floor = {w: margin[w] + (w in certain) for w in odds}, 0.5
-    model = Model(fold_in, b)
-    m = np.concatenate([model.margins(texts[i : i + 200]) for i in range(0, len(texts), 200)])
-    model.slope, model.at, model.base = _logistic(m, y)
+    return fold_in, float(b)
+
+
+def fitted(rows: list[tuple[str, int]], landmarks: int = 256, rounds: int = 2, words: int = 40_000, negatives: int = 3000, step: int = 300, draws: int = 3, seed: int = 3) -> Model | None:
+    """A model from (text, toxic) rows, the average of `draws` machines. Each knows `words` clean words, dealt at random; it trains on
+    `negatives` of them, and on the `step` nearest of all in each round, as a solver with an active set does."""
+    rows = sorted({(t or "", int(y)) for t, y in rows if y is not None})  # copies teach once
+    y = np.array([v for _, v in rows], np.int64)
+    if not len(y) or y.min() == y.max():
+        return None
+    once = _copies([t for t, _ in rows], y)
+    texts, y = [rows[i][0] for i in once], y[once]
+    del rows
+    if y.min() == y.max():
+        return None
+    held: dict[str, str] = {}  # one string for each word, however many texts have it
+    bags = []
+    for t in texts:
+        own = {held.setdefault(p, p) for w in t.split() if (p := plain(w))}
+        bags.append(sorted(own | {held.setdefault(p, p) for m in _SPELLED.finditer(t) if (p := plain(m[0].translate(_GLUE)))}))
+    del held
+    toxic, clean = (Counter(w for b, v in zip(bags, y, strict=True) if v == c for w in b) for c in (1, 0))
+    excess, odds, sure = _telling(toxic, clean, int(y.sum()), int((1 - y).sum()))
+    if not sure:
+        sure = sorted(toxic, key=lambda w: (-excess[w], w))[:8]
+    machines = [_machine(bags, y, toxic, clean, excess, odds, sure, landmarks, rounds, words, negatives, step, np.random.default_rng([seed, k])) for k in range(draws)]
+    machines = [m for m in machines if m]
+    if not machines:
+        return None
+    model = Model(np.mean([w for w, _ in machines], 0), float(np.mean([b for _, b in machines])))
+    _logistic(model, np.array([features(m) for i in range(0, len(texts), 200) for m in model.margins(texts[i : i + 200])]), y)
     return model
 
-def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, middle and base of the likeliest base + (1 - base) * logistic: the base is the share of toxic texts that no word shows,
-    which so doesn't flatten the slope."""
-    tried = []
-    for at in np.unique(np.r_[np.quantile(m, np.linspace(0.5, 1, 21)), np.linspace(-0.75, 1.75, 21)]).tolist():
-        for slope in (1, 2, 3, 5, 8, 12):
-            p = 1 / (1 + np.exp(-np.clip(slope * (m - at), -30, 30)))
-            for base in (0.0, 0.01, 0.03, 0.06, 0.1):
-                q = np.clip(base + (1 - base) * p, 1e-3, 1 - 1e-3)
-                tried.append((float(np.where(y > 0, np.log(q), np.log(1 - q)).sum()), float(slope), at, base))
-    fit, slope, _, base = max(tried)
-    # where words are told apart by a wide gap, many middles fit as well: the median of these
-    level = sorted(t[2] for t in tried if t[0] >= fit - 0.5 and t[1] == slope and t[3] == base)
-    return slope, level[len(level) // 2], base
+
+def _logistic(model: Model, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> None:
+    """The likeliest logistic weights of standardised features, by Newton steps, with a small penalty on all but the constant."""
+    model.centre, model.spread = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - model.centre) / model.spread, np.ones(len(x))]
+    ridge = penalty * len(y) * np.r_[np.ones(x.shape[1]), 1e-6]
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, np.where(y > 0, -m, m)).sum() + 0.5 * (ridge * w * w).sum())
+
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+        now, size = loss(w), 1.0
+        while size > 1e-4 and loss(w - size * move) > now:
+            size /= 2
+        w = w - size * move
+        if now - loss(w) < 1e-9:
+            break
+    model.factors = w
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
@@ -260,11 +304,12 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple
     return mapped(docs, text, keep, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]), work)
 
 
-def model_of(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> Model | None:
-    """A model fitted on at most `bound` labelled documents: docs has doc_id and text, labels doc_id and toxic."""
+def model_of(docs: DataFrame, labels: DataFrame, bound: int = 4000, most: int = 128 << 20) -> Model | None:
+    """A model fitted on at most `bound` labelled documents, and about `most` bytes of text: docs has doc_id and text, labels doc_id and
+    toxic."""
     taken = sample(labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic"), "doc_id", bound, seed=1)
     marks = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["toxic"])) for r in taken], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), "doc_id").select("text", "toxic").collect()  # bounded by `bound`
+    rows = sample(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), "doc_id"), "doc_id", bound, seed=2, text="text", most=most)
     return fitted([(r["text"], r["toxic"]) for r in rows])
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
