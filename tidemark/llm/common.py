@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import dropped, shared_dir, written
+
+__all__ = ["Cache", "dropped", "fold", "mapped", "shared_dir", "stretches", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns (all, if none are named) of a table of the data set."""
@@ -20,39 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a
-    temporary folder stands in, but only if driver and executors are one process; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if base or held.isDefined():
-        return (base or held.get()).rstrip("/")
-    if not spark.sparkContext._jsc.sc().isLocal():
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if "local" not in _FOLDER:
-        _FOLDER["local"] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return _FOLDER["local"]
-
-
-_FOLDER: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later stages read files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once nothing reads them any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fold(doc_id, parts: int):
     """crc32 of doc_id as text, modulo parts; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
