@@ -62,7 +62,7 @@ STAGES = [
     ("best_fit_packing", stage_packing),
 ]
 
-#: The stages' models, fingerprints and tokens are beyond SQL; tests hold each stage against a brute-force version.
+#: The stages' models, fingerprints and tokens are beyond SQL; tests/llm holds the operators against brute force.
 ORACLE_SQL = None
 
 
