@@ -458,6 +458,25 @@ def test_no_audit_passes_by_construction(spark, more):
     assert sum(r.n_links for r in got) == 2 * len(near)
 
 
+def test_audits_count_recall(spark, caplog):
+    # labels go by audits alone, and an audit asks for every node: what it counts is the recall of the neighbour graph
+    g = np.random.default_rng(9)
+    x = np.repeat(g.normal(size=(150, 16)), 6, 0) + g.normal(scale=0.12, size=(900, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], i // 6 % 2) for i, v in enumerate(x)]
+    same = np.array([r[2] for r in rows])
+    link = np.triu((u @ u.T >= 0.93) & (same[:, None] == same[None, :]), 1)
+    with caplog.at_level("INFO", logger="tidemark.llm.nn_descent"):
+        got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), whole=0, sample=900).collect()
+    lacks, asked = caplog.records[0].args[1:3]
+    assert asked == 2 * link.sum() > 1000 and lacks <= 0.1 * asked
+    root = slow_components(len(x), np.argwhere(link).tolist())
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert {r.vec_id: r.component_id for r in got} == {i: least[r] for i, r in enumerate(root)}
+
+
 def test_small_label_beside_a_large_one(spark):
     # 8 hyperplanes suit the large label; in the small one they would part many pairs
     g = np.random.default_rng(6)
@@ -671,3 +690,19 @@ def test_pipeline_keeps_columns(spark):
     assert docs.filter("doc_id is null").count() == 0  # texts without letters have no language
     rows = corpus_pipeline.stage_packing(spark, docs, DATA)
     assert rows.select("doc_id").distinct().count() == before
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_pipeline_of_no_rows_and_of_repeated_rows(spark):
+    import corpus_pipeline
+    from tidemark.llm.common import table, written
+
+    docs = table(spark, DATA, "documents")
+    none = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        none = written(stage(spark, none, DATA), f"none-{name}")
+        assert none.count() == 0
+        assert name == "best_fit_packing" or none.columns == docs.columns
+    once = corpus_pipeline.stage_simhash(spark, docs, DATA)
+    twice = corpus_pipeline.stage_simhash(spark, docs.unionAll(docs), DATA)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
