@@ -77,6 +77,23 @@ def test_codec_round_trip(spark, library):
         assert d.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_other_scripts_go_through_lexicon_and_merging(spark, library, monkeypatch):
+    letters = "abcXYZ '’“—éÜßıİǅΣσςЖдя漢字カタ한글ا😀👍️́ͅẞ0１²½\x1c\x1f\t\n\x85  .,!<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    texts += [t[:9] + s + t[9:] for t in texts[:200] for s in ("<|endoftext|>", "<|startoftext|><|endoftext|>")] + ODD_TEXTS[1:13]
+    wanted = [library[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+    counts = token_codec.word_counts(documents(spark, ["Привет, МИР", "привет “мир” <|endoftext|>"]), WORD)
+    assert {r.piece: r.n for r in counts.collect()} == {"привет": 2, "мир": 2, ",": 1, "“": 1, "”": 1}
+    own = vocab.library(WORD)
+    monkeypatch.setattr(vocab, "library", lambda path: type("Splits", (), {"normalizer": own.normalizer, "pre_tokenizer": own.pre_tokenizer}))  # cannot encode
+    pieces = list(dict.fromkeys(p for t in texts for c in vocab.WordCoder(WORD).chunks(t) for p in vocab.WordCoder(WORD).pieces(c)))[::2]
+    ids, at = vocab.vocabulary(WORD).merge_all(pieces)
+    block = lexicon.compiled(pieces, [ids[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(len(pieces))])
+    for coder in (vocab.WordCoder(WORD), vocab.WordCoder(WORD, lexicon.Lexicon(block))):
+        for t, ids in zip(texts, wanted, strict=True):
+            assert np.frombuffer(b"".join(coder.ids_of_chunks(coder.chunks(t))), "<u4").tolist() == ids, t
+
+
 def test_lexicon_shares_suffixes():
     pool = sorted({words(1).encode() for _ in range(300)} | {s + b"ingly" for s in (b"a", b"be", b"cat")})
     ids = [np.array([i, i + 1], "<u4").tobytes() for i in range(len(pool))]

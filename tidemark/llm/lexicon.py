@@ -70,9 +70,9 @@ def compiled(words: list[bytes], ids: list[bytes]) -> bytes:
     by_key = np.argsort(np.array(keys, np.int64), kind="stable")
     pool = b"".join(ids[i] for i in order)
     ends = np.cumsum([0, *(len(ids[i]) // 4 for i in order)])
-    parts = [np.array(keys, "<i8")[by_key], np.array(targets, "<i8")[by_key], np.array(outputs, "<i8")[by_key], np.array([s.final for s in states], "<i8"), ends.astype("<i8"), np.frombuffer(pool, "<u4").astype("<i8")]
+    parts = [np.array(keys, "<i8")[by_key], np.array(targets, "<i8")[by_key], np.array(outputs, "<i8")[by_key], np.array([s.final for s in states], "<i8"), ends.astype("<i8")]
     head = np.array([root.number, *map(len, parts)], "<i8")
-    return b"".join(x.tobytes() for x in (head, *parts))
+    return b"".join([*(x.tobytes() for x in (head, *parts)), pool])
 
 
 class Lexicon:
@@ -82,14 +82,14 @@ class Lexicon:
         with tempfile.TemporaryFile() as f:
             f.write(block)
             f.flush()
-            data = np.memmap(f, "<i8", "r")
-        sizes = data[1:7].tolist()
-        self.root, at, parts = int(data[0]), 7, []
+            data = np.asarray(np.memmap(f, np.uint8, "r"))  # views of it are still mapped
+        self.root, *sizes = data[:48].view("<i8").tolist()
+        at, parts = 48, []
         for n in sizes:
-            parts.append(data[at : at + n])
-            at += n
-        self.keys, self.targets, self.outputs, self.final, ends, ids = map(np.asarray, parts)  # still mapped
-        self.raw, self.ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            parts.append(data[at : at + 8 * n].view("<i8"))
+            at += 8 * n
+        self.keys, self.targets, self.outputs, self.final, self.ends = parts
+        self.raw = memoryview(data[at:])
         self.states = len(self.final)
 
     def find(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -116,9 +116,6 @@ class Lexicon:
             state[live] = self.targets[arc]
             place[live] += self.outputs[arc]
             depth += 1
-        out = {}
-        place = place.tolist()
-        for i in np.concatenate(hits).tolist():
-            n = place[i]
-            out[words[i]] = self.raw[self.ends[n] : self.ends[n + 1]]
-        return out
+        found = np.concatenate(hits)
+        starts, ends = (4 * self.ends[place[found]]).tolist(), (4 * self.ends[place[found] + 1]).tolist()
+        return {words[i]: bytes(self.raw[a:z]) for i, a, z in zip(found.tolist(), starts, ends, strict=True)}

@@ -39,12 +39,11 @@ class _Ids:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
-        wholes = [self.coder.whole(t) for t in texts]
-        split = [t.split() if w is None else [] for t, w in zip(texts, wholes, strict=True)]
+        split = [self.coder.chunks(t) for t in texts]
         new = cache.missing({c for s in split for c in s})
         cache.young.update(zip(new, self.coder.ids_of_chunks(new), strict=True))
         get = cache.young.__getitem__
-        out = [b"".join(map(get, s)) if w is None else np.array(w, "<u4").tobytes() for s, w in zip(split, wholes, strict=True)]
+        out = [b"".join(map(get, s)) for s in split]
         cache.turn()
         return out
 

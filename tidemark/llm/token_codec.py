@@ -17,32 +17,31 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import Cache, dropped, table, written
 from tidemark.llm.lexicon import Lexicon, compiled
-from tidemark.llm.vocab import ODD, WordCoder
+from tidemark.llm.vocab import WordCoder
 
 #: Distinct words counted in memory before a task hands its counts on.
 COUNTED = 200_000
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """piece, n: how often each piece of all texts occurs. Tasks add up what they read before anything is shuffled."""
 
-    def count(batches, path=None):
+    def count(batches):
         from collections import Counter
 
-        from tidemark.llm.vocab import WORD_PIECES
+        coder = WordCoder(path)
 
         def out(chunks: Counter) -> pa.RecordBatch:
             held: Counter = Counter()
             for c, n in chunks.items():
-                if not ODD.search(c):
-                    for p in WORD_PIECES.findall(c.lower()):
-                        held[p] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
+                for p in coder.pieces(c):
+                    held[p] += n
+            return pa.RecordBatch.from_arrays([pa.array([p.decode() for p in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
 
         chunks: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                chunks.update((t or "").split())
+                chunks.update(coder.chunks(t or ""))
                 if len(chunks) > COUNTED:
                     yield out(chunks)
                     chunks = Counter()
@@ -54,7 +53,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def lexicon_block(docs: DataFrame, path: str, text: str = "text", size: int = 65_536) -> bytes:
     """The compiled lexicon of the most frequent pieces over all texts, at most `size` (of equally frequent ones all or none). `size` bounds
     it to a few MB."""
-    counts = written(word_counts(docs, text).filter(F.length("piece") <= 64), "pieces")
+    counts = written(word_counts(docs, path, text).filter(F.length("piece") <= 64), "pieces")
     # the least count that at most `size` pieces have or exceed: a histogram of counts is small, whatever the number of pieces
     least, total = None, 0
     for r in counts.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).toLocalIterator():
@@ -86,13 +85,12 @@ class Codec:
     def encode_batch(self, texts: list[str]):
         """For each text, the parts (n, ids joined by spaces, decoded) of its chunks in order; parts of a chunk are made once."""
         cache = self.cache
-        wholes = [self.coder.whole(t) for t in texts]
-        split = [t.split() if w is None else [] for t, w in zip(texts, wholes, strict=True)]
+        split = [self.coder.chunks(t) for t in texts]
         new = cache.missing({c for s in split for c in s})
         for c, raw in zip(new, self.coder.ids_of_chunks(new), strict=True):
             cache.young[c] = self._part(np.frombuffer(raw, "<u4").tolist())
-        for s, w in zip(split, wholes, strict=True):
-            yield [p for p in [self._part(w)] if p] if w is not None else list(filter(None, map(cache.young.__getitem__, s)))
+        for s in split:
+            yield list(filter(None, map(cache.young.__getitem__, s)))
         cache.turn()
 
     def _part(self, ids: list[int]) -> tuple:

@@ -135,34 +135,45 @@ LETTERS, NUMBERS = _simple_classes()
 #: The pre-splitting rule of lower-cased word vocabularies, and of byte-level ones, over characters below U+0250.
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-#: Other characters go to the library itself: there Unicode versions and composition matter. U+0130 lower-cases to two characters;
-#: U+001C to U+001F are white space to Python alone.
+#: Text with other characters is composed, lower-cased and split by the library: there Unicode versions matter. U+0130 lower-cases to two
+#: characters; U+001C to U+001F are white space to Python alone.
 ODD = re.compile("[ɐ-\U0010ffffİ\x1c-\x1f]")
+_INNER = re.compile(r"[\S\x1c-\x1f]+")
+_LETTER_BYTES = {c: b for b, c in enumerate(byte_letters())}
 
 
 class WordCoder:
     """Exact ids of texts under a lower-casing word-end BPE vocabulary, resolved once for each distinct white-space chunk.
 
     White space is never part of a piece, and neither composition nor lower-casing reaches across it, so a text's ids are those of
-    its chunks in order. Texts with special strings or U+001C to U+001F go to the library whole.
+    its chunks in order. Special strings are chunks of their own. Every other chunk's pieces come from the lexicon or are merged here,
+    in any script; the library only composes, lower-cases and splits chunks with characters from U+0250 on.
     """
 
     def __init__(self, path: str, lexicon=None):
         self.vocab, self.path, self.lexicon = vocabulary(path), path, lexicon
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocab.specials, key=len, reverse=True))) + ")")
 
-    def whole(self, text: str) -> list[int] | None:
-        """The library's ids of texts that cannot be taken chunk by chunk; None for all others."""
-        if "<|" in text and any(s in text for s in self.vocab.specials) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return library(self.path).encode(text, add_special_tokens=False).ids
-        return None
+    def chunks(self, text: str) -> list[str]:
+        """A text's special strings and what stands between white space, in order."""
+        if "<|" in text and self.special.search(text):
+            return [c for i, part in enumerate(self.special.split(text)) for c in ([part] if i % 2 else self._spaced(part))]
+        return self._spaced(text)
+
+    @staticmethod
+    def _spaced(text: str) -> list[str]:
+        return _INNER.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def pieces(self, chunk: str) -> list[bytes]:
-        return [p.encode() for p in WORD_PIECES.findall(chunk.lower())]
+        """What a chunk is split into before merging; nothing for a special string."""
+        if not ODD.search(chunk):
+            return [] if chunk in self.vocab.specials else [p.encode() for p in WORD_PIECES.findall(chunk.lower())]
+        lib = library(self.path)
+        return [bytes(map(_LETTER_BYTES.__getitem__, p)) for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(chunk))]
 
     def ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Each chunk's ids as little-endian unsigned 32-bit bytes."""
-        odd = ODD.search
-        plain = [[] if odd(c) else self.pieces(c) for c in chunks]
+        plain = [self.pieces(c) for c in chunks]
         distinct = list(dict.fromkeys(p for ps in plain for p in ps))
         held: dict[bytes, bytes] = {}
         if self.lexicon is not None:
@@ -172,8 +183,5 @@ class WordCoder:
             ids, at = self.vocab.merge_all(distinct)
             raw, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
             held.update({p: raw[at[i] : at[i + 1]] for i, p in enumerate(distinct)})
-        out = [b"".join([held[p] for p in ps]) for ps in plain]
-        for i, c in enumerate(chunks):
-            if odd(c):
-                out[i] = np.array(library(self.path).encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        special = self.vocab.specials
+        return [np.array([special[c]], "<u4").tobytes() if c in special else b"".join([held[p] for p in ps]) for c, ps in zip(chunks, plain, strict=True)]
