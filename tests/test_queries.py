@@ -48,6 +48,17 @@ def test_query(spark, duck, name):
     assert got == table(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+@pytest.mark.parametrize("hours", [3, 23, 24, 40])
+def test_last_row_windows_on_odd_events(spark, tmp_path, hours):
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i % hours), i % 7, ("click", "error", "view")[i % 3], None if i % 11 == 0 else i / 3, "{}") for i in range(7 * hours)]
+    rows += [(10**6 + i, None, 1, "click", 5.0, "{}") for i in range(3)] + [(10**7 + i, datetime.datetime(2024, 1, 1 + i), 1, None, None, None) for i in range(2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["last_row_windows"](spark, str(tmp_path)).select("total", "window_ts").collect()
+    assert table(got) == table(c.sql(SQL["last_row_windows"]).project("total, window_ts").fetchall()) and bool(got) == (hours > 22)
+
+
 def test_entry(spark):
     import __spark_entry__
 

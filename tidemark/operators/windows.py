@@ -79,15 +79,16 @@ def forward_windows(df: DataFrame, columns: Sequence[str] | str, window_size: in
     return out.withColumns({n: F.transform("_rows", field_of(f"_{i}")) for i, n in enumerate(names)}).drop("_rows")
 
 
-def last_row_windows(df: DataFrame, features: Sequence[str], window_size: int, *, timestamp: str, order_by, partition_by) -> DataFrame:
+def last_row_windows(df: DataFrame, features: Sequence[str], window_size: int, *, timestamp: str, order_by, partition_by, zero_padding: bool = True) -> DataFrame:
     """W-09: full windows over an array of features, as window, with the timestamp of their last row, as window_ts. A partition with
-    fewer rows gives one window padded with zeros at its end."""
+    fewer rows gives one window padded with zeros at its end, or none."""
     vec = F.array(*(F.col(c).cast("double") for c in features))
     w = _spec(partition_by, order_by)
     part = _part(partition_by)
     out = df.withColumns({"_w": F.collect_list(vec).over(w.rowsBetween(0, window_size - 1)), "window_ts": F.last(timestamp).over(w.rowsBetween(0, window_size - 1)), "_n": F.count("*").over(part), "_r": F.row_number().over(w)})
     pad = F.array_repeat(F.array_repeat(F.lit(0.0), len(features)), F.greatest(F.lit(0), window_size - F.size("_w")))
-    return out.filter((F.size("_w") == window_size) | ((F.col("_n") < window_size) & (F.col("_r") == 1))).withColumn("window", F.concat("_w", pad)).drop("_w", "_n", "_r")
+    short = F.lit(zero_padding) & (F.col("_n") < window_size) & (F.col("_r") == 1)
+    return out.filter((F.size("_w") == window_size) | short).withColumn("window", F.concat("_w", pad)).drop("_w", "_n", "_r")
 
 
 def generate_windows(df: DataFrame, *, column: str, order_by, partition_by, delta_thr: float = 10, sequence_length: int = 2, index: str = "index", force_padding_with_values: bool = False, padding_constant: int = 0) -> DataFrame:

@@ -403,8 +403,9 @@ def line_scores(spark, d):
 
 @query(f"WITH {HOURLY} SELECT ts AS window_ts, round(t, 6) AS total FROM (SELECT lead(hour, 23) OVER (ORDER BY hour) AS ts, sum(click + error) OVER (ORDER BY hour ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS t FROM hourly) WHERE ts IS NOT NULL")
 def last_row_windows(spark, d):
-    """W-09."""
-    w = windows.last_row_windows(hourly(spark, d), ["click", "error"], 24, timestamp="hour", order_by="hour")
+    """W-09. One row for each hour, so that all are one window; events without a time are of no hour."""
+    h = hourly(spark, d).filter("hour is not null")
+    w = windows.last_row_windows(h, ["click", "error"], 24, timestamp="hour", order_by="hour", partition_by=windows.WHOLE, zero_padding=False)
     return w.select("window_ts", F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0] + x[1]), 6).alias("total"))
 
 
