@@ -291,6 +291,44 @@ def test_suffix_dedup(spark, hot):
     assert sum(s.high - s.low for s in full.spans) == full.n_removed
 
 
+def test_only_shared_anchors_reach_the_transform(monkeypatch):
+    # of a bucket of 100 segments, three share an anchor, in two runs each; bytes of the others need no transform
+    import pandas as pd
+    import zstandard
+
+    shared = words(60).encode()
+    keys, rec = [], []
+    for doc in range(40):
+        text = words(30).encode() + b" " + (shared if doc < 3 else words(60).encode()) + b" " + words(30).encode()
+        for t, a, n, _ in zip(*suffix_dedup.block_anchors(np.frombuffer(text, np.uint8), np.array([len(text)]), 100), strict=True):
+            keys.append(text[a : a + n + 99])
+            rec.append((doc, 5 << 16 | doc, a, n + 99))
+    pack = zstandard.ZstdCompressor().compress
+    frame = pd.DataFrame({"bucket": [0], "records": [pack(np.array(rec, suffix_dedup._SEGMENT).tobytes())], "data": [pack(b"".join(keys))]})
+    seen = []
+    later = suffix_dedup.later_copies
+    monkeypatch.setattr(suffix_dedup, "later_copies", lambda data, *more: seen.append(len(data)) or later(data, *more))
+    got = {}
+    for r in (suffix_dedup._met(100)(frame), suffix_dedup._met(100, 1)(frame)):  # groups together, and one by one
+        span = np.concatenate([np.frombuffer(x, suffix_dedup._SPAN) for x in r["records"]])
+        assert set(span["place"].tolist()) == {1, 2} and r["block"].tolist() == [5]
+        new = {d: [x.tolist() for x in suffix_dedup.spans_of(*(span[span["place"] == d][c] for c in ("low", "high")))] for d in (1, 2)}
+        assert not got or got == new
+        got = new
+    assert all(len(low) == 1 and high[0] - low[0] >= len(shared) for low, high in got.values())
+    assert 0 < seen[0] < sum(map(len, keys)) / 4 and len(seen) > 2
+
+
+def test_packed_blocks_keep_what_goes_along(spark, monkeypatch):
+    texts = [words(1 + i % 40) for i in range(300)] + [None, "", words(3000)]
+    docs = documents(spark, texts).repartition(3).withColumn("along", F.struct(F.col("doc_id").alias("id"), F.struct(F.length("text").alias("n"))))
+    for size in (1 << 20, 500):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", size)
+        held = suffix_dedup.blocks(docs, carry="along").collect()
+        rows = [(i, n, a.id, list(a[1])[0]) for r in held for i, n, a in zip(r.doc_ids, r.sizes, r.carry, strict=True)]
+        assert len(rows) == len(texts) and all(i == j and (n or 0) == (m or 0) for i, m, j, n in rows)
+
+
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 500)
     data = np.frombuffer(words(600).encode(), np.uint8)
