@@ -532,6 +532,25 @@ def test_audits_count_recall(spark, caplog):
     assert {r.vec_id: r.component_id for r in got} == {i: least[r] for i, r in enumerate(root)}
 
 
+@pytest.mark.parametrize("more", [{}, {"whole": 0, "sample": 0}, {"whole": 0, "sample": 1, "audits": 3}])
+def test_result_does_not_depend_on_sizes_or_audits(spark, monkeypatch, more):
+    # a search that finds nothing, and audits that see nothing or hardly anything: the tiles still find every link
+    monkeypatch.setattr(nn_descent, "_first_lists", lambda nodes, *_: nodes.sparkSession.createDataFrame([], nn_descent._LISTS))
+    monkeypatch.setattr(nn_descent, "BLOCKS", (8, 16))
+    x = at_angles([*np.linspace(0, 300, 60), 320.0, 358.0], wobble=0.01)
+    rows = [(i, [float(c) for c in v], i // 30) for i, v in enumerate(x)]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rounds=0, **more).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    part = np.array([r[2] for r in rows])
+    link = np.triu((u @ u.T >= 0.93) & (part[:, None] == part[None, :]), 1)
+    root = slow_components(len(x), np.argwhere(link).tolist())
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert {r.vec_id: r.component_id for r in got} == {i: least[r] for i, r in enumerate(root)}
+    assert sum(r.n_links for r in got) == 2 * link.sum() > 100
+
+
 def test_small_label_beside_a_large_one(spark):
     # 8 hyperplanes suit the large label; in the small one they would part many pairs
     g = np.random.default_rng(6)

@@ -10,10 +10,11 @@
 3. A list is saturated if all its k neighbours are links. Its node then gets a second list, of the k most similar nodes outside its
    component, and the search goes on: close neighbours cannot crowd out a link that leads elsewhere. Within a component links are counted
    in tiles, exactly, however dense it is, and only counts leave a tile.
-4. Recall is audited. A label of at most `whole` nodes is compared in tiles, exactly. Of larger labels, a sample of nodes, another in each
-   audit, is compared with all rows of their labels. Links that the graph lacks are added, and further hyperplanes and rounds follow,
-   until a fresh sample lacks none and no list is saturated. If that never comes, larger labels are compared in tiles too. A clean sample
-   of n nodes is no proof: at 95 %, up to 3 / n of the nodes of large labels may still lack a link between components.
+4. In the end all labels, of any size, are compared in tiles, which find the links between components that the graph lacks: the result is
+   exact, and does not depend on the sizes of labels or on luck. Tiles are quadratic in a label's distinct vectors; a tile gets two
+   blocks. Labels of more than `whole` nodes are audited before that: a sample of nodes is compared with all rows of their labels, and
+   the recall is logged. With more than one audit, links that an audit finds are added and further hyperplanes and rounds follow, until a
+   fresh sample lacks none and no list is saturated. Audits only leave the tiles less to find.
 
 Only vectors with equal labels, not null, and equal dimension are compared. Vectors that are null, zero or hold null or non-finite
 components, and rows without label, link with nothing: they are their own components. Rows with a null id take part, but never name a
@@ -36,8 +37,8 @@ from tidemark.llm.vectors import packed_vectors
 
 #: Nodes of a group that a task compares at once.
 GROUP = 512
-#: Nodes of a block of a tile.
-BLOCK = 2048
+#: Nodes of a block of a tile, at least and at most; a label of up to 16 * BLOCKS[1] nodes has 16 blocks at most.
+BLOCKS = 2048, 8192
 _LOG = logging.getLogger(__name__)
 #: kind: entry of a list of nodes outside the own component (0) or in it (1); a link that joins components (2).
 _LISTS = "u long, v long, sim double, kind int"
@@ -223,7 +224,7 @@ def _within(classes: DataFrame, threshold: float) -> DataFrame:
 def _tiles(nodes: DataFrame, threshold: float) -> DataFrame:
     """All links between components of nodes (node, part, root, vec), as spanning forests of roots: each pair of a label's blocks meets
     once."""
-    sizes = nodes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = nodes.groupBy("part").agg(F.ceil(F.count("*") / F.greatest(F.lit(BLOCKS[0]), F.least(F.lit(BLOCKS[1]), F.ceil(F.count("*") / 16)))).alias("blocks"))
     placed = nodes.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = placed.select(F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other")).alias("place"), "part", "root", "vec")
 
@@ -273,7 +274,7 @@ def _audit(nodes: DataFrame, threshold: float, sample: int, seed: int) -> DataFr
     return nodes.select("node", "part", "root", "vec").mapInArrow(search, _LISTS)
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = 12, tables: int = 10, rounds: int = 5, settled: float = 0.002, sample: int = 512, audits: int = 4, whole: int = 20_000) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = 12, tables: int = 10, rounds: int = 5, settled: float = 0.002, sample: int = 512, audits: int = 1, whole: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     raw = packed_vectors(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding"), "embedding", ("vec_id", "label"))
     zero: Column = F.length(F.regexp_replace(F.hex("vec"), "^(0000000000000000|0000000000000080)*$", "")) == 0
@@ -304,8 +305,6 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = 12, table
             if changed <= settled * total:
                 break
         roots = joined(state, extra)
-        if audit == 0:
-            extra = written(_tiles(placed(roots, F.col("n") <= whole), threshold), "links")
         if not large:
             break
         asked = written(_audit(placed(roots, F.col("n") > whole), threshold, sample, 7 + audit), "missed")
@@ -313,13 +312,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = 12, table
         lacks = missed.count()
         _LOG.info("audit %d: %d of %d links of %d nodes were missed", audit + 1, lacks, of, sample)
         extra = extra.unionByName(missed)
+        if audit + 1 == audits:
+            break
         saturated = state.filter("kind = 0").join(placed(roots, F.col("n") > whole).select(F.col("node").alias("u")), "u", "left_semi").groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).filter((F.col("n") >= k) & (F.col("low") >= threshold))
         if not lacks and saturated.isEmpty():
             break
-    else:
-        _LOG.warning("no audit was clean: labels of more than %d nodes are compared in tiles", whole)
-        roots = joined(state, extra)
-        extra = extra.unionByName(written(_tiles(placed(roots, F.col("n") > whole), threshold), "links"))
+    extra = extra.unionByName(written(_tiles(placed(roots), threshold), "links"))
     if not extra.isEmpty():
         roots = joined(state, extra)
     classes = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").join(nodes, "node").select("node", "root", "size", "copies", "vec")
