@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import evaluation, joins, order, scaling, scoring, windows
+from tidemark.operators import evaluation, joins, order, scaling, scoring, tiles, windows
 from tidemark.operators.templates import MinerConfig, TemplateMiner, TemplateTree, messages_of
 from tidemark.plans import drift
 from tidemark.plans.artifacts import MetricPipeline
-from tidemark.queries import QUERIES, TYPES
+from tidemark.queries import QUERIES, SQL, TYPES
 from tidemark.runtime import run_name, seeded, timed
 from tidemark.sources import tables
 
@@ -281,3 +281,51 @@ def test_drift_map(spark):
     svg = drift.drift_map({"tier1_all_features": rows})
     assert svg.count("<circle") == len(TYPES) and "gone" not in svg
     assert json.loads(json.dumps({"ok": evaluation.tail_ks(np.zeros(3), 0.1, 1.0) == math.inf}))["ok"]
+
+
+def test_pairwise_cosine_stats_of_many_suppliers(spark, tmp_path):
+    import time
+
+    import duckdb
+
+    g = np.random.default_rng(3)
+    n = 6000
+    f = pd.DataFrame({"s_suppkey": g.permutation(n), "s_acctbal": g.normal(0, 3000, n).round(2), "s_nationkey": g.integers(0, 25, n).astype("int32")})
+    f.loc[:40, "s_suppkey"] = 17  # pairs of one key are none
+    f.loc[70:75, "s_acctbal"] = np.nan
+    f.loc[80:82, "s_acctbal"] = np.inf
+    spark.createDataFrame([(int(k), float(a), int(c)) for k, a, c in f[["s_suppkey", "s_acctbal", "s_nationkey"]].itertuples(index=False)], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.time()
+    got = QUERIES["pairwise_cosine_stats"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 120  # by an aggregate over a row for each pair: not done after 170 s, on 8 cores
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == c.sql(SQL["pairwise_cosine_stats"]).fetchall()
+
+
+@pytest.mark.parametrize("few", [0, 5, 100_000])
+def test_distance_stats_of_odd_vectors(spark, monkeypatch, few):
+    g = np.random.default_rng(4)
+    rows = [(f"k{i % 170}", g.normal(size=3).tolist()) for i in range(180)] + [(f"s{i}", [0.5, 0.5, 1.0]) for i in range(25)]
+    rows += [("z0", [0.0, 0.0, 0.0]), ("z1", [0.0, 0.0, 0.0]), ("n0", None), ("n1", [1.0, None, 2.0]), ("e", []), (None, [1.0, 2.0, 3.0])]
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 40)
+    r = tiles.distance_stats(spark.createDataFrame(rows, "k string, v array<double>"), key="k", vector="v", tiny=0.02, few=few).first()
+    d, pairs = [], 0
+    for i, (k, v) in enumerate(rows):
+        for m, w in rows[i + 1 :]:
+            pairs += None not in (k, m) and k != m
+            if None not in (k, m) and k != m and v and w and None not in v + w:
+                a, b = np.array(v), np.array(w)
+                d.append(1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if a.any() and b.any() else math.nan)
+    d = np.maximum(np.sort(d), 0)
+    want = d[(len(d) - 1) // 2], d[0], d[d > 0.02].min(), np.quantile(d[~np.isnan(d)], 0.1 * (len(d) - 1) / ((~np.isnan(d)).sum() - 1)), (d < 0.02).sum() / pairs
+    assert tuple(r) == pytest.approx(want, abs=1e-12)
+
+
+def test_distance_stats_without_pairs(spark):
+    of = lambda rows: tuple(tiles.distance_stats(spark.createDataFrame(rows, "k long, v array<double>"), key="k", vector="v").first())
+    assert of([]) == of([(1, [1.0])]) == of([(1, [1.0]), (1, [2.0])]) == (None,) * 5
+    assert of([(1, None), (2, [2.0])]) == (None, None, None, None, 0.0)
+    assert of([(1, [0.0]), (2, [2.0])])[4] == 0.0 and all(math.isnan(x) for x in of([(1, [0.0]), (2, [2.0])])[:4])
+    with pytest.raises(ValueError):
+        of([(1, [1.0]), (2, [2.0, 1.0])])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats, text
-from tidemark.operators import evaluation, frame, joins, order, scaling, scoring, windows
+from tidemark.operators import evaluation, frame, joins, order, scaling, scoring, tiles, windows
 from tidemark.operators.templates import MinerConfig, TemplateMiner, calinski_harabasz
 from tidemark.plans import drift, logs, metrics
 
@@ -527,8 +527,7 @@ def _supplier_vectors(spark, d):
 @query(f"WITH {_NATION_VECTORS}, p AS (SELECT 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a JOIN v b ON a.k < b.k) SELECT round(quantile_disc(d, 0.5), 6) AS median, round(min(d), 6) AS least, round(min(CASE WHEN d > 1e-4 THEN d END), 6) AS least_over, round(quantile_cont(d, 0.1), 6) AS q10, round(avg(CASE WHEN d < 1e-4 THEN 1.0 ELSE 0.0 END), 6) AS share_under FROM p")
 def pairwise_cosine_stats(spark, d):
     """J-09, M-16, M-17: over a table of template-like vectors."""
-    p = joins.pairwise_cosine(_supplier_vectors(spark, d), key="k", vector="e")
-    return rounded(scoring.distance_stats(p), "median", "least", "least_over", "q10", "share_under")
+    return rounded(tiles.distance_stats(_supplier_vectors(spark, d), key="k", vector="e"), "median", "least", "least_over", "q10", "share_under")
 
 
 # Statistics and drift
