@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.operators import evaluation, joins, order, scaling, scoring, tiles, windows
 from tidemark.operators.templates import MinerConfig, TemplateMiner, TemplateTree, messages_of
-from tidemark.plans import drift
+from tidemark.plans import drift, logs
 from tidemark.plans.artifacts import MetricPipeline
 from tidemark.queries import QUERIES, SQL, TYPES
 from tidemark.runtime import run_name, seeded, timed
@@ -274,6 +274,24 @@ def test_block_verdicts(spark):
         assert score == pytest.approx(want[u][0], rel=1e-9) and n == want[u][1] and hit == int(want[u][0] > 0.1)
 
 
+@pytest.mark.parametrize("model", [scoring.MeanReconstructor(), scoring.LSTMAutoEncoder.random(64, 4)])
+def test_block_verdicts_of_lines_numbered_by_block(spark, model):
+    kinds = ["open file", "close the file", "read all", None]
+    own = {b: [kinds[(i * i + b) % 4] for i in range(n)] for b, n in ((1, 3), (2, 10), (3, 25), (4, 1))}
+    e = spark.createDataFrame([(b, i, m) for b, ms in own.items() for i, m in enumerate(ms)], "block long, line long, message string")
+    miner = TemplateMiner(MinerConfig(similarity=0.9)).fit(e, "message", "line", distinct="masked")
+    vec = {r.Template: np.array(r.vector) for r in logs.template_table(miner, spark).collect()} | {None: np.zeros(64)}
+    df = logs.block_verdicts(e, miner, block="block", message="message", line_id="line", length=10, model=model, threshold=0.02)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()  # neither slots nor cells are rows
+    got = {r.block: (r.max_score, r.n_windows, r.anomaly) for r in df.collect()}
+    assert set(got) == set(own)
+    for b, ms in own.items():
+        v = np.array([vec[m] for m in ms] + [np.zeros(64)] * max(0, 10 - len(ms)))
+        w = np.stack([v[i : i + 10] for i in range(len(v) - 9)])
+        scores = ((w - model(w)) ** 2).mean((1, 2)) + 1e-8
+        assert got[b] == (pytest.approx(scores.max(), rel=1e-9), len(scores), int(scores.max() > 0.02))
+
+
 @needs_data
 def test_drift_map(spark):
     rows = [r.asDict() for r in QUERIES["drift_report"](spark, DATA).collect()]

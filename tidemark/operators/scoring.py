@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -295,6 +295,36 @@ def reconstructed(windows: DataFrame, model, *, window: str = "window", out: str
     return windows.mapInArrow(run, T.StructType([*windows.schema.fields, T.StructField(out, kind)]))
 
 
+def id_window_scores(windows: DataFrame, model, vectors: Mapping[int, np.ndarray], size: int, *, window: str = "window", out: str = "score", at_once: int = 1024) -> DataFrame:
+    """M-03, M-07: the score (mean squared error of all steps and features that the model reconstructs, plus 1e-8) of windows of ids of one
+    length, in place of the window. A step's features are its id's vector of `size` numbers, zeros if it has none. Vectors are looked up,
+    reconstructed and compared within Arrow batches, so that neither a vector nor a cell is ever a row."""
+    ids = np.array(sorted(vectors), np.int64)
+    table = np.array([*(vectors[i] for i in ids.tolist()), np.zeros(size)], np.float64)
+    held = windows.sparkSession.sparkContext.broadcast((model, ids, table))
+    at = windows.columns.index(window)
+    names = [c for c in windows.columns if c != window]
+
+    def run(batches):
+        model, ids, table = held.value
+        for batch in batches:
+            column = batch.column(at)
+            if not len(column):
+                continue
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            place = np.searchsorted(ids, flat)
+            place[(place == len(ids)) | (np.r_[ids, 0][place] != flat)] = len(ids)
+            place = place.reshape(len(column), -1)
+            scores = np.empty(len(column))
+            for i in range(0, len(column), at_once):
+                x = table[place[i : i + at_once]]
+                y = model(x)
+                scores[i : i + at_once] = ((x[:, :, : y.shape[2]] - y) ** 2).mean((1, 2)) + SHIFT
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != at), pa.array(scores)], [*names, out])
+
+    return windows.mapInArrow(run, T.StructType([*(f for f in windows.schema.fields if f.name != window), T.StructField(out, T.DoubleType())]))
+
+
 def cells(windows: DataFrame, *, key: str, window: str = "window", reconstruction: str = "reconstruction") -> DataFrame:
     """key, step, feature, target, recon: windows as cells. Features beyond the reconstruction's width are inputs alone, and have none."""
     steps = windows.select(key, F.posexplode(F.arrays_zip(F.col(window).alias("t"), F.col(reconstruction).alias("r"))).alias("step", "x"))

@@ -116,13 +116,14 @@ def array_windows(column: str | Column, window_size: int, force_padding_with_val
     return F.when(F.size(c) >= window_size, full).otherwise(padded if force_padding_with_values else none)
 
 
-def node_windows(df: DataFrame, *, node, line_id: str, length: int, pad: int = -1, more: Sequence[str] = ()) -> DataFrame:
+def node_windows(df: DataFrame, *, node, line_id: str, length: int, pad: int = -1, more: Sequence[str] = (), value: str | None = None) -> DataFrame:
     """W-07, P-12, A-22: full windows of line ids of each node, in file order; a node with fewer lines gives one, padded with -1. For
-    each column of more, its sum over the window's lines, as sum_<column>."""
+    each column of more, its sum over the window's lines, as sum_<column>. value: a column that windows hold in place of line ids."""
     keys = columns_of(node)
     w = Window.partitionBy(*keys).orderBy(line_id)
     frame = w.rowsBetween(0, length - 1)
-    rows = df.withColumns({"window": F.collect_list(line_id).over(frame), "_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys)), **{f"sum_{c}": F.sum(c).over(frame) for c in more}})
+    held = F.when(F.col(line_id).isNotNull(), F.col(value)) if value else F.col(line_id)
+    rows = df.withColumns({"window": F.collect_list(held).over(frame), "_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys)), **{f"sum_{c}": F.sum(c).over(frame) for c in more}})
     rows = rows.filter((F.size("window") == length) | ((F.col("_r") == 1) & (F.col("_n") < length)))
     padded = F.concat("window", F.array_repeat(F.lit(pad).cast("long"), F.greatest(F.lit(0), length - F.size("window"))))
     return rows.select(*keys, F.col(line_id).alias("first_line"), padded.alias("window"), (F.col("_r") == 1).alias("is_first"), *(f"sum_{c}" for c in more))

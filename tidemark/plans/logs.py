@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import filter_incidents, gather_vectors
+from tidemark.operators.joins import filter_incidents
 from tidemark.operators.order import with_row_index
-from tidemark.operators.scoring import verdicts, window_scores
+from tidemark.operators.scoring import id_window_scores, verdicts
 from tidemark.operators.templates import TemplateMiner, hashed_embedding
 from tidemark.operators.windows import WHOLE, generate_windows, node_windows
 
@@ -31,17 +32,9 @@ def missing_templates(ids: DataFrame, table: DataFrame, key: str = "ClusterId")
 
 
 def block_verdicts(lines: DataFrame, miner: TemplateMiner, *, block: str, message: str, line_id: str, length: int, model, threshold: float) -> DataFrame:
-    """M-06, M-07, A-17: max_score, n_windows and anomaly of each block. Short blocks are padded with zero vectors, which count."""
-    from tidemark.operators.scoring import cells, reconstructed
-
-    spark = lines.sparkSession
-    ids = miner.predict(lines, message)
-    windows = node_windows(ids, node=block, line_id=line_id, length=length, pad=-1)
-    placed = windows.select(block, "first_line", F.posexplode("window").alias("pos", line_id)).join(ids.select(line_id, "template_id"), line_id, "left")
-    rows = placed.groupBy(block, "first_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("template_id", F.lit(-1)).alias("t")))), lambda x: x["t"]).alias("ids"))
-    rows = rows.withColumn("window_id", F.struct(block, "first_line"))
-    table = template_table(miner, spark).withColumn("ClusterId", F.col("ClusterId").cast("long"))
-    zero = F.array_repeat(F.lit(0.0), 64)
-    vectors = gather_vectors(rows, table, window_id="window_id", ids="ids", key="ClusterId", vector="vector").select("window_id", F.transform("vectors", lambda v: F.coalesce(v, zero)).alias("window"))
-    scored = window_scores(cells(reconstructed(vectors, model), key="window_id"), masked=False)
-    return verdicts(scored.select(F.col(f"window_id.{block}").alias(block), "score"), group=block, score="score", threshold=threshold)
+    """M-06, M-07, A-17: max_score, n_windows and anomaly of each block. Short blocks are padded with zero vectors, which count. Templates'
+    vectors go to all tasks, as the tree itself does."""
+    ids = miner.predict(lines.select(block, line_id, message), message).select(block, line_id, "template_id")
+    windows = node_windows(ids, node=block, line_id=line_id, length=length, value="template_id")
+    vectors = {r["ClusterId"]: np.array(r["vector"]) for r in template_table(miner, lines.sparkSession).select("ClusterId", "vector").collect()}  # templates
+    return verdicts(id_window_scores(windows.select(block, "window"), model, vectors, 64), group=block, score="score", threshold=threshold)
