@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import operator
 from pathlib import Path
 
 import numpy as np
@@ -292,6 +293,21 @@ def test_block_verdicts_of_lines_numbered_by_block(spark, model):
         assert got[b] == (pytest.approx(scores.max(), rel=1e-9), len(scores), int(scores.max() > 0.02))
 
 
+def test_window_errors_of_shapes(spark):
+    g = np.random.default_rng(5)
+    own = [g.normal(size=s).tolist() for s in ((3, 2), (3, 2), (5, 2), (1, 4))] + [[], [[math.nan, 1.0], [0.0, 1.0]]]
+
+    first = operator.itemgetter((slice(None), slice(None, None, -1), slice(0, 1)))  # a model of one feature alone
+    df = scoring.window_errors(spark.createDataFrame(list(enumerate(own)), "k long, window array<array<double>>").coalesce(1), first)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()  # a cell is no row
+    got = {r.k: (r.mse, r.feature_mse) for r in df.collect()}
+    assert set(got) == {0, 1, 2, 3, 5} and math.isnan(got.pop(5)[0])
+    for k, (mse, each) in got.items():
+        x = np.array(own[k])[None]
+        want = ((x[:, :, :1] - first(x)) ** 2).mean()
+        assert mse == pytest.approx(want) and each == pytest.approx([want])
+
+
 @needs_data
 def test_drift_map(spark):
     rows = [r.asDict() for r in QUERIES["drift_report"](spark, DATA).collect()]

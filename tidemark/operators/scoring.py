@@ -261,38 +261,39 @@ class MeanReconstructor:
         return np.broadcast_to(x.mean(1, keepdims=True), x.shape)
 
 
-def reconstructed(windows: DataFrame, model, *, window: str = "window", out: str = "reconstruction") -> DataFrame:
-    """Windows (array of steps of features) with their reconstruction, in Arrow batches; windows of a batch that have one shape go through
-    the model together, as arrays cut from the batch's buffers. Windows hold numbers, no nulls, and steps of one width."""
+def _by_shape(column: pa.ListArray):
+    """Places of the windows of each shape, and these windows as an array cut from the column's buffers; empty ones are left out."""
+    n = np.diff(column.offsets.to_numpy())
+    steps = column.flatten()
+    widths = np.diff(steps.offsets.to_numpy())
+    flat = steps.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begins = np.r_[0, np.cumsum(n)]
+    starts = np.r_[0, np.cumsum(widths)]
+    for size, width in {(int(k), int(widths[b])) for k, b in zip(n, begins, strict=False) if k}:
+        own = np.array([i for i in range(len(n)) if n[i] == size and widths[begins[i]] == width])
+        yield own, flat[starts[begins[own]][:, None] + np.arange(size * width)].reshape(len(own), size, width)
+
+
+def window_errors(windows: DataFrame, model, *, window: str = "window") -> DataFrame:
+    """M-10: mse (over steps and features) and feature_mse (over steps, an array) of each window, in place of the window. Windows are
+    reconstructed and compared within Arrow batches, so that a cell is never a row. Empty windows have no error and are left out;
+    features beyond the reconstruction's width are inputs alone."""
     held = windows.sparkSession.sparkContext.broadcast(model)
     at = windows.columns.index(window)
-    names = [*windows.columns, out]
+    names = [c for c in windows.columns if c != window]
 
     def run(batches):
         for batch in batches:
-            column = batch.column(at)
-            n = np.diff(column.offsets.to_numpy())
-            steps = column.flatten()
-            widths = np.diff(steps.offsets.to_numpy())
-            flat = steps.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(n):
-                continue
-            begins = np.r_[0, np.cumsum(n)]
-            starts = np.r_[0, np.cumsum(widths)]
-            made: list = [None] * len(n)
-            for size, width in {(int(k), int(widths[b])) for k, b in zip(n, begins, strict=False) if k}:
-                own = np.array([i for i in range(len(n)) if n[i] == size and widths[begins[i]] == width])
-                x = flat[starts[begins[own]][:, None] + np.arange(size * width)].reshape(len(own), size, width)
-                for i, y in zip(own.tolist(), held.value(x), strict=True):
-                    made[i] = y
-            y_width = [0 if y is None else y.shape[1] for y in made]
-            inner = np.r_[0, np.cumsum(np.repeat(y_width, n))].astype(np.int32)
-            values = pa.array(np.concatenate([y.ravel() for y in made if y is not None] or [np.zeros(0)]))
-            rows = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.ListArray.from_arrays(pa.array(inner), values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names)
-
-    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
-    return windows.mapInArrow(run, T.StructType([*windows.schema.fields, T.StructField(out, kind)]))
+            made: list = [None] * batch.num_rows
+            for own, x in _by_shape(batch.column(at)):
+                y = held.value(x)
+                for i, e in zip(own.tolist(), ((x[:, :, : y.shape[2]] - y) ** 2).mean(1), strict=True):
+                    made[i] = e
+            rows = [*(batch.column(k) for k in range(batch.num_columns) if k != at), pa.array([None if e is None else e.mean() for e in made], pa.float64()), pa.array(made, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(rows, [*names, "mse", "feature_mse"])
+
+    fields = [*(f for f in windows.schema.fields if f.name != window), T.StructField("mse", T.DoubleType()), T.StructField("feature_mse", T.ArrayType(T.DoubleType()))]
+    return windows.mapInArrow(run, T.StructType(fields)).filter("mse is not null")
 
 
 def id_window_scores(windows: DataFrame, model, vectors: Mapping[int, np.ndarray], size: int, *, window: str = "window", out: str = "score", at_once: int = 1024) -> DataFrame:
@@ -323,9 +324,3 @@ def id_window_scores(windows: DataFrame, model, vectors: Mapping[int, np.ndarray
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != at), pa.array(scores)], [*names, out])
 
     return windows.mapInArrow(run, T.StructType([*(f for f in windows.schema.fields if f.name != window), T.StructField(out, T.DoubleType())]))
-
-
-def cells(windows: DataFrame, *, key: str, window: str = "window", reconstruction: str = "reconstruction") -> DataFrame:
-    """key, step, feature, target, recon: windows as cells. Features beyond the reconstruction's width are inputs alone, and have none."""
-    steps = windows.select(key, F.posexplode(F.arrays_zip(F.col(window).alias("t"), F.col(reconstruction).alias("r"))).alias("step", "x"))
-    return steps.select(key, "step", F.posexplode(F.arrays_zip(F.slice("x.t", F.lit(1), F.size("x.r")).alias("t"), F.col("x.r").alias("r"))).alias("feature", "y")).select(key, "step", "feature", F.col("y.t").alias("target"), F.col("y.r").alias("recon"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import cyclic_features
 from tidemark.operators.frame import exclude_ranges, ordered_features, split_train_test, zero_filled
 from tidemark.operators.scaling import Scaler
-from tidemark.operators.scoring import cells, classified, mse_by_feature, pooled_mse, ranked_mse, reconstructed
+from tidemark.operators.scoring import classified, ranked_mse, window_errors
 from tidemark.operators.windows import WHOLE, last_row_windows
 
 
@@ -45,8 +45,9 @@ def inferred(df: DataFrame, *, timestamp_col: str, metric_columns: Sequence[str]
     keys = [] if partition_by == WHOLE else [partition_by] if isinstance(partition_by, str) else list(partition_by)
     rows = ordered_features(rows, metric_columns, extra, keep=[*keys, timestamp_col])
     windows = last_row_windows(rows, names, window_size, timestamp=timestamp_col, order_by=timestamp_col, partition_by=keys or WHOLE)
-    made = reconstructed(windows.select(F.struct(*keys, "window_ts").alias("id"), "window"), model)
-    flat = cells(made, key="id")
-    verdict = classified(pooled_mse(flat, window="id"), "mse", threshold) if threshold is not None else pooled_mse(flat, window="id")
-    named = mse_by_feature(flat, window="id").withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("feature") + 1))
+    errors = window_errors(windows.select(F.struct(*keys, "window_ts").alias("id"), "window"), model)
+    pooled = errors.groupBy("id").agg(F.avg("mse").alias("mse"))  # windows that end in one instant are of one size
+    verdict = classified(pooled, "mse", threshold) if threshold is not None else pooled
+    each = errors.select("id", F.posexplode("feature_mse").alias("feature", "mse")).groupBy("id", "feature").agg(F.avg("mse").alias("mse"))
+    named = each.withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("feature") + 1))
     return verdict.select("id.*", *[c for c in verdict.columns if c != "id"]), ranked_mse(named, window="id", feature="feature", top_k=top_k).select("id.*", "rank", "feature", "mse", "contribution_percent")

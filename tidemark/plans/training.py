@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scoring import MeanReconstructor, cells, pooled_mse, reconstructed
+from tidemark.operators.scoring import MeanReconstructor, window_errors
 from tidemark.registry import register
 
 register("reconstructor", "mean")(MeanReconstructor)
@@ -57,8 +57,8 @@ class LinearAutoEncoder:
 
 def loss(windows: DataFrame, model, *, key: str, window: str = "window") -> float:
     """The mean squared error of all windows."""
-    made = reconstructed(windows.select(key, window), model, window=window)
-    return pooled_mse(cells(made, key=key, window=window), window=key).agg(F.avg("mse")).first()[0]
+    errors = window_errors(windows.select(key, window), model, window=window)
+    return errors.groupBy(key).agg(F.avg("mse").alias("mse")).agg(F.avg("mse")).first()[0]
 
 
 def searched(train: DataFrame, validation: DataFrame, grid: Iterable[Mapping], *, key: str, window: str = "window") -> tuple[LinearAutoEncoder, list[dict]]:
